@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import itertools
+import os
 
 import regex
 from pyspark.sql import DataFrame
@@ -23,8 +24,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 
 from .frames import arrow_map
 
-#: Pieces kept by one worker; further ones are encoded anew.
-CACHE_PIECES = 400_000
+#: Pieces in each of a worker's two caches (about 100 MB together).
+CACHE_PIECES = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -49,24 +50,34 @@ class ByteBPE:
         self.tokenizer = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in self.ranks.items()}, merges=[(a, b) for _, _, a, b in halves], ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[str, int, tuple[int, ...]]] = {}
-
-    def learn(self, pieces) -> None:
-        """Encode the pieces that the cache lacks, in one call."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list(pieces)
-        for low in range(0, len(new), 20_000):
-            some = new[low : low + 20_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = tuple(got.ids)
-                self.cache[piece] = (",".join(map(str, ids)), len(ids), ids)
+        # Of each piece: its ids as text, and the bytes that they decode to.
+        self.ids: dict[str, str] = {}
+        self.out: dict[str, bytes] = {}
+        self.before: dict[str, str] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Makes the caches hold at least ``pieces``. When they are full they become
+        the ones before, from which pieces in use return."""
+        new = pieces - self.ids.keys()
+        if len(self.ids) + len(new) > CACHE_PIECES:
+            self.before, self.ids, self.out = self.ids, {}, {}
+            new = pieces
+        if self.before:
+            for piece in new & self.before.keys():
+                self.ids[piece] = text = self.before[piece]
+                self.out[piece] = self.decode(map(int, text.split(",")))
+            new = new - self.ids.keys()
+        some = list(new)
+        table = self.bytes_of
+        for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            ids = got.ids
+            self.ids[piece] = ",".join(map(str, ids))
+            self.out[piece] = b"".join([table[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split.findall(text)
-        self.learn(dict.fromkeys(pieces))
-        return [i for p in pieces for i in self.cache[p][2]]
+        self.learn(set(pieces))
+        return [int(i) for p in pieces for i in self.ids[p].split(",")]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -85,6 +96,8 @@ class ByteBPE:
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBPE:
+    # A task has one core; the library's threads would take others' cores.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ByteBPE(path, pattern)
 
 
@@ -97,17 +110,16 @@ def _digests(path: str, pattern: str):
         bpe = coder(path, pattern)
 
         def step(batch):
-            texts = _texts(batch.column(1))
+            pieces = [bpe.split.findall(t) for t in _texts(batch.column(1))]
+            bpe.learn(set(itertools.chain.from_iterable(pieces)))
+            ids_of, bytes_of = bpe.ids.__getitem__, bpe.out.__getitem__
             counts, ids_sha, out_sha = [], [], []
-            for text in texts:
-                pieces = bpe.split.findall(text)
-                bpe.learn(dict.fromkeys(pieces))
-                known = bpe.cache
-                got = [known[p] for p in pieces]
-                counts.append(sum(g[1] for g in got))
-                ids_sha.append(hashlib.sha256(",".join([g[0] for g in got]).encode()).hexdigest())
-                decoded = bpe.decode(itertools.chain.from_iterable([g[2] for g in got]))
-                out_sha.append(hashlib.sha256(decoded).hexdigest())
+            for some in pieces:
+                ids = ",".join(map(ids_of, some))
+                counts.append(ids.count(",") + 1 if ids else 0)
+                ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
+                # A text's ids decode to its pieces' bytes in a row.
+                out_sha.append(hashlib.sha256(b"".join(map(bytes_of, some))).hexdigest())
             return batch.column(0), counts, ids_sha, out_sha
 
         return step
