@@ -120,7 +120,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     grouped = joined.join(least, "root").select("fp", "component_id")
-    named = distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written out, so that both sides of the last join are plain exchanges and a
+    # fingerprint that very many documents share is split over tasks.
+    named = cut(distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
