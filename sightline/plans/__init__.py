@@ -1,4 +1,6 @@
 """Registered queries, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import detection, evidence, floor, frames, imaging, machines, settings
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "detection", "evidence", "floor", "frames", "imaging", "machines", "settings"]
