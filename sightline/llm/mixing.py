@@ -20,6 +20,8 @@ MOST_COPIES = 3
 SEED = 7
 #: Budget that the dynamic program fits at most, in words.
 DP_WORDS = 1 << 16
+#: Documents of each length that the even share leaves to the program at first.
+SPARE = 8
 #: Documents of equal length are ranked in parts of about this many.
 PART = 1000
 #: Sources up to which their totals are broadcast.
@@ -56,26 +58,43 @@ def targets(totals: DataFrame) -> DataFrame:
 
 def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their words come as near
-    ``budget`` from below as the program finds; exact where it can be."""
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+    ``budget`` from below as can be: an even share of each length, of which the
+    program gets some back to fit the rest, the more the less well it fits.
+
+    The nearest sum of all is sure for sources of up to ``DP_WORDS`` words, and
+    found in practice wherever there are short documents; what is missed is below
+    the length of the longest document."""
+    have = dict(zip(lengths, counts, strict=True))
+    total = sum(n * c for n, c in have.items())
     if budget >= total:
-        return dict(zip(lengths, counts, strict=True))
-    take = {n: c * budget // total for n, c in zip(lengths, counts, strict=True)}
-    left = {n: c - take[n] for n, c in zip(lengths, counts, strict=True) if n > 0}
+        return have
+    even = {n: c * budget // total for n, c in have.items()}
+    spare, best, best_short = SPARE, even, budget + 1
+    while True:
+        take = _fitted(have, even, budget, spare)
+        short = budget - sum(n * k for n, k in take.items())
+        if short < best_short:
+            best, best_short = take, short
+        if not best_short or spare >= max(even.values()) or spare > DP_WORDS:
+            return best
+        spare *= 4
+
+
+def _fitted(have: dict[int, int], even: dict[int, int], budget: int, spare: int) -> dict[int, int]:
+    take = dict(even)
     rest = budget - sum(n * c for n, c in take.items())
-    # Longest first until the rest is small; two lengths more than that stay free
-    # for the program, by putting back what was taken last.
-    for n in sorted(left, reverse=True):
-        if rest <= DP_WORDS:
-            break
-        k = min(left[n], max(0, (rest - DP_WORDS // 2) // n))
-        take[n] += k
-        left[n] -= k
-        rest -= n * k
-    if rest > DP_WORDS:
-        # Only documents longer than the whole program's budget remain.
+    for n in sorted(n for n in take if n > 0):
+        back = min(take[n], spare, max(0, (DP_WORDS - rest) // n))
+        take[n] -= back
+        rest += n * back
+    left = {n: c - take[n] for n, c in have.items() if n > 0}
+    # Longest first until the rest is small. What is then above the program's
+    # budget can only be lengths longer than it.
+    for bound in (DP_WORDS // 2, 0):
         for n in sorted(left, reverse=True):
-            k = min(left[n], rest // n)
+            if rest <= DP_WORDS:
+                break
+            k = min(left[n], max(0, (rest - bound) // n))
             take[n] += k
             left[n] -= k
             rest -= n * k

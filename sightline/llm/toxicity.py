@@ -40,7 +40,7 @@ _WORDS = frozenset(w.encode() for w in INSULTS)
 _YOU = frozenset(w.encode() for w in SECOND_PERSON)
 _SEPARATORS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
-_OBFUSCATED = re.compile(rb"[A-Za-z]+[0-9@$!*|][0-9@$!*|A-Za-z]*[A-Za-z]|[0-9@$|][A-Za-z][0-9@$!*|A-Za-z]*[A-Za-z]|(?<![A-Za-z])(?:[A-Za-z][ .*_-]){3,}[A-Za-z](?![A-Za-z])")
+_OBFUSCATED = re.compile(rb"(?<![A-Za-z])[A-Za-z]++[0-9@$!*|][0-9@$!*|A-Za-z]*[A-Za-z]|[0-9@$|][A-Za-z][0-9@$!*|A-Za-z]*[A-Za-z]|(?<![A-Za-z])(?:[A-Za-z][ .*_-]){3,}[A-Za-z](?![A-Za-z])")
 FEATURES = 14
 
 
