@@ -95,13 +95,13 @@ def deblock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_P}, l AS (SELECT frame_id, px, py, lag(luma) OVER x + lead(luma) OVER x + lag(luma) OVER y + lead(luma) OVER y - 4 * luma AS d FROM pixels WINDOW x AS (PARTITION BY frame_id, py ORDER BY px), y AS (PARTITION BY frame_id, px ORDER BY py))
-SELECT frame_id, round(var_pop(d), 4) AS sharpness, round(least(1.0, greatest(0.3, var_pop(d) / 36000.0::DOUBLE)), 5) AS scale FROM l GROUP BY frame_id""")
+SELECT frame_id, round(var_pop(d), 4) AS sharpness, floor(least(1.0, greatest(0.3, var_pop(d) / 36000.0::DOUBLE)) * 10000 + 0.5::DOUBLE) / 10000 AS scale FROM l GROUP BY frame_id""")
 def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpness: variance of the four-neighbour Laplacian inside the frame."""
     x, y = Window.partitionBy("frame_id", "py").orderBy("px"), Window.partitionBy("frame_id", "px").orderBy("py")
     d = F.lag("luma").over(x) + F.lead("luma").over(x) + F.lag("luma").over(y) + F.lead("luma").over(y) - 4 * F.col("luma")
     v = F.var_pop("d")
-    return V.pixels(spark, sf_dir).withColumn("d", d).groupBy("frame_id").agg(F.round(v, 4).alias("sharpness"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.3), v / 36000.0)), 5).alias("scale"))
+    return V.pixels(spark, sf_dir).withColumn("d", d).groupBy("frame_id").agg(F.round(v, 4).alias("sharpness"), (F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.3), v / 36000.0)) * 10000 + 0.5) / 10000.0).alias("scale"))
 
 
 @query(f"""{_P}, d AS (SELECT frame_id, abs(luma - lag(luma) OVER (PARTITION BY camera_id, p ORDER BY frame_id)) AS d FROM pixels)
