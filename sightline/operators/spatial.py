@@ -23,12 +23,20 @@ def to_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell
     return known.withColumn("_cx", F.explode(_span(x0, x1, cell))).withColumn("_cy", F.explode(_span(y0, y1, cell)))
 
 
+def at_cell(df: DataFrame, x: Column, y: Column, cell: float) -> DataFrame:
+    """The cell of each point; NULL places: none."""
+    return df.where(x.isNotNull() & y.isNotNull()).withColumns({"_cx": F.floor(x / cell), "_cy": F.floor(y / cell)})
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, polygon: str = "polygon", cell: float = 50.0) -> DataFrame:
     """Inner join of points and the polygons that hold them; a pair once."""
     xs, ys = F.transform(polygon, lambda v: v["x"]), F.transform(polygon, lambda v: v["y"])
-    cells = to_cells(polygons, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys), cell)
-    near = to_cells(points, F.col(x), F.col(y), F.col(x), F.col(y), cell).join(cells, ["_cx", "_cy"])
-    return near.where(G.inside(F.col(x), F.col(y), F.col(polygon))).drop("_cx", "_cy")
+    bounds = polygons.withColumns({"_x0": F.array_min(xs), "_y0": F.array_min(ys), "_x1": F.array_max(xs), "_y1": F.array_max(ys)})
+    cells = to_cells(bounds, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell)
+    near = at_cell(points, F.col(x), F.col(y), cell).join(cells, ["_cx", "_cy"])
+    # The bounds are compiled code; the polygon's rule runs for what is left.
+    within = F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1"))
+    return near.where(within & G.inside(F.col(x), F.col(y), F.col(polygon))).drop("_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
 
 
 def highest_sector(points: DataFrame, sectors: DataFrame, key: str, x: str, y: str, cell: float = 50.0) -> DataFrame:
@@ -55,7 +63,7 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, a: tuple[str, st
     ``radius``; of equal distances the least ``order``. Rows without one are absent."""
     ax, ay, bx, by = F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])
     l = to_cells(left, ax - radius, ay - radius, ax + radius, ay + radius, radius)
-    r = to_cells(right, bx, by, bx, by, radius)
+    r = at_cell(right, bx, by, radius)
     d = G.distance(ax, ay, bx, by)
     met = l.join(r, [*on, "_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") < radius)
     chosen = F.struct(*[c for c in right.columns if c not in on], F.col("_d").alias("distance"))

@@ -19,14 +19,15 @@ CLASSES = {"view": "human", "click": "cat", "purchase": "cat", "signup": "teddy
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    u = F.col("user_id")
+    # The number is exploded out of the JSON: later filters on what derives from it
+    # are then pushed no further, where each mention would parse the text again.
+    e = table(spark, sf_dir, "events").withColumn("k", F.explode(F.array(F.get_json_object("props", "$.k").cast("long"))))
+    k, u = F.col("k"), F.col("user_id")
     kind = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(c)) for t, c in CLASSES.items()])
     confidence = F.least("value", F.lit(100.0)) / 100
     return e.select(
         F.col("event_id").alias("det_id"), "ts", (u % 4).alias("camera_id"), kind.alias("cls"), confidence.alias("confidence"), (confidence + (k % 10) / F.lit(10.0)).alias("evidence"),
-        ((u * 7 + k * 3) % 1100).cast("int").alias("x"), ((u * 5 + k * 11) % 640).cast("int").alias("y"), (k % 60 + 40).cast("int").alias("w"), (u % 50 + 30).cast("int").alias("h"), u.alias("user_id"), k.alias("k"),
+        ((u * 7 + k * 3) % 1100).cast("int").alias("x"), ((u * 5 + k * 11) % 640).cast("int").alias("y"), (k % 60 + 40).cast("int").alias("w"), (u % 50 + 30).cast("int").alias("h"), u.alias("user_id"), k,
     )
 
 
