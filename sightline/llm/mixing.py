@@ -23,7 +23,7 @@ DP_WORDS = 1 << 16
 #: Documents of each length that the even share leaves to the program at first.
 SPARE = 8
 #: Documents of equal length are ranked in parts of about this many.
-PART = 1000
+PART = 200
 #: Sources up to which their totals are broadcast.
 MAX_SOURCES = 10_000
 
