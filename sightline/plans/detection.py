@@ -232,3 +232,13 @@ def nms_single_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = ("o_x", "o_y", "o_w", "o_h")
     met = spatial.overlapping(d, o, _BOX, other, on=["user_id"]).where(better & (G.iou(*map(F.col, _BOX), *map(F.col, other)) > 0.45))
     return d.join(met.select("det_id").distinct(), "det_id", "left_anti").select("det_id")
+
+
+@query(f"""{_D}, l AS (SELECT det_id, user_id, x - 4 AS x0, y - 4 AS y0, x + w + 4 AS x1, y + 22 AS y1 FROM detections)
+SELECT a.det_id, count(*) AS collisions FROM l a JOIN l b ON a.user_id = b.user_id AND a.det_id <> b.det_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY a.det_id""")
+def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions of a source that would overlap, with a margin around each."""
+    l = V.detections(spark, sf_dir).select("user_id", "det_id", (F.col("x") - 4).alias("lx"), (F.col("y") - 4).alias("ly"), (F.col("w") + 8).alias("lw"), F.lit(26).alias("lh"))
+    other = l.select("user_id", *[F.col(c).alias(f"o_{c}") for c in ("det_id", "lx", "ly", "lw", "lh")])
+    met = spatial.overlapping(l, other, ("lx", "ly", "lw", "lh"), ("o_lx", "o_ly", "o_lw", "o_lh"), on=["user_id"])
+    return met.where("det_id <> o_det_id").groupBy("det_id").agg(F.count("*").alias("collisions"))

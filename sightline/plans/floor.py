@@ -276,3 +276,14 @@ def proposals_unlocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposals for labels that no locked sector has."""
     s = V.sectors(spark, sf_dir)
     return s.where("source = 'proposed'").select("label").join(s.where("locked").select("label"), "label", "left_anti")
+
+
+@query(f"""WITH {V.SECTORS}, {V.DETECTIONS}, incoming AS (SELECT sector_id, x0, y0, floor_height + 5 AS floor_height, CASE WHEN sector_id % 3 = 0 THEN NULL ELSE source END AS source FROM sectors WHERE sector_id < 20)
+SELECT det_id, arg_max(sector_id, (floor_height, -sector_id)) AS sector_id, arg_max(coalesce(source, 'confirmed'), (floor_height, -sector_id)) AS source FROM detections JOIN incoming ON x % 300 > x0 AND x % 300 < x0 + 70 AND y % 250 > y0 AND y % 250 < y0 + 60 WHERE x % 300 % 10 <> 0 AND y % 250 % 10 <> 0 GROUP BY det_id""")
+def replace_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sectors replaced by a posted list; things are looked up anew."""
+    kept = F.when(F.col("sector_id") % 3 != 0, F.col("source"))
+    incoming = V.sectors(spark, sf_dir).where("sector_id < 20").select("sector_id", "polygon", (F.col("floor_height") + 5).alias("floor_height"), F.coalesce(kept, F.lit("confirmed")).alias("source"))
+    things = V.detections(spark, sf_dir).select("det_id", (F.col("x") % 300).cast("double").alias("fx"), (F.col("y") % 250).cast("double").alias("fy")).where("fx % 10 <> 0 AND fy % 10 <> 0")
+    found = spatial.highest_sector(things, incoming, "det_id", "fx", "fy").select("det_id", "sector_id")
+    return found.join(incoming.select("sector_id", "source"), "sector_id").select("det_id", "sector_id", "source")

@@ -61,7 +61,14 @@ def floor_by_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).withColumn("steady", steady).groupBy("camera_id").applyInPandas(floor_of, QUAD)
 
 
-@query()
+_COLOUR = f"""WITH {V.PIXELS}, b AS (SELECT camera_id, p, px, py, CAST(trunc(median(luma)) AS INTEGER) AS g FROM pixels GROUP BY ALL), r AS (SELECT camera_id, min(g) AS lo, max(g) AS hi FROM b GROUP BY camera_id),
+banded AS (SELECT b.*, least(5, CAST(trunc((g - lo) / (hi - lo)::DOUBLE * 6) AS INTEGER)) AS band FROM b JOIN r USING (camera_id) WHERE hi - lo >= 1),
+s AS (SELECT camera_id, band, count(*) / 64.0::DOUBLE AS area, avg(CASE WHEN px BETWEEN 1 AND 3 AND py BETWEEN 1 AND 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS covered, avg(py / 8.0::DOUBLE) AS cy, avg(g) AS mean FROM banded GROUP BY ALL),
+k AS (SELECT *, round(area * (1 - covered) * (cy + 0.5), 6) AS score FROM s WHERE mean >= 25 AND area >= 0.02)
+SELECT camera_id, band, turn, score, round(area, 6) AS area FROM (SELECT *, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY score DESC, band) AS INTEGER) AS turn FROM k) WHERE turn <= 4"""
+
+
+@query(_COLOUR)
 def floor_by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the background ranked by area, bareness and lowness, four a camera."""
     bg = V.pixels(spark, sf_dir).groupBy("camera_id", "p", "px", "py").agg(F.median("luma").cast("int").alias("g"))
@@ -118,7 +125,13 @@ def propose_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return floor.unionByName(made.select("label", F.coalesce("height", F.lit(0.0)).alias("floor_height"), F.lit("proposed").alias("source"), F.size("polygon").alias("vertices")))
 
 
-@query()
+_LEARNER = f"""WITH {V.PIXELS}, t AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY frame_id) AS turn FROM (SELECT DISTINCT camera_id, frame_id FROM pixels)), dealt AS (SELECT * FROM pixels JOIN t USING (camera_id, frame_id)),
+d AS (SELECT camera_id, px, turn, abs(luma - lag(luma) OVER (PARTITION BY frame_id, py ORDER BY px)) AS step FROM dealt), l AS (SELECT camera_id, px % 4 AS phase, avg(step) AS m FROM d WHERE turn <= 40 AND px > 0 GROUP BY ALL),
+prior AS (SELECT camera_id, arg_max(phase, (m, -phase)) AS phase, max(m) / median(m) AS excess FROM l GROUP BY camera_id), f AS (SELECT frame_id, p, luma, excess, turn > 40 AND excess >= 1.05 AND px % 4 = phase AS corrected FROM dealt JOIN prior USING (camera_id))
+SELECT frame_id, p, CASE WHEN corrected THEN CAST(trunc(luma / excess) AS INTEGER) ELSE luma END AS luma, corrected FROM f"""
+
+
+@query(_LEARNER)
 def grid_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first forty frames of a camera teach the grid's phase and pass as they
     are; later ones are corrected, if there is a grid."""
