@@ -42,7 +42,12 @@ _STICKY = re.compile(
     r"share|sharing|social|related|recommended|recommendations|footer|foot|copyright|skip|toolbar|taboola|outbrain)\b",
     re.I,
 )
-_SOFT = re.compile(r"\b(?:header|masthead|topbar|banner|sidebar|aside|widget|widgets|rail|side|alert|legal|disclaimer|tags|categories|meta|hidden)\b", re.I)
+_SIDE = re.compile(r"\b(?:topbar|banner|sidebar|aside|widget|widgets|rail|side|alert|legal|disclaimer|hidden)\b", re.I)
+_SOFT = re.compile(r"\b(?:header|masthead|tags|categories|meta)\b", re.I)
+# An article's own classes often name its topic; only these say what it is.
+_NOT_ARTICLE = re.compile(r"(?:^|\s)(?:comments?|replies|reply|ads?|advert|sponsored|promo|related)(?:[-_]\S*)?(?:\s|$)", re.I)
+# Words of layout that speak of what is elsewhere on the page.
+_LAYOUT = re.compile(r"\b(?:with|has|have|no|without|is|show|hide|enable|enabled|open|closed)[-_ ]+\w+", re.I)
 _GOOD = re.compile(r"\b(?:article|articlebody|content|main|post|entry|story|body|text|prose)\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[_\-\d]+")
 
@@ -72,13 +77,20 @@ class _Element:
                     gone = True
         if tag in ("article", "main") or role in ("main", "article"):
             self.good, self.soft = 2, False
-        names = _CAMEL.sub(" ", names) if names else ""
-        page = tag in ("html", "body", "main")
-        if tag in _HARD or role in _HARD_ROLES or gone or tag == "header" and self.good < 2 or names and not page and _STICKY.search(names):
+        if tag in _HARD or role in _HARD_ROLES or gone or tag == "header" and self.good < 2:
             self.hard = True
-        elif names and not page:
-            if _SOFT.search(names) and tag != "article":
-                self.soft = True
+        elif tag == "article":
+            self.hard = self.hard or bool(_NOT_ARTICLE.search(names))
+        elif names and tag not in ("html", "body", "main"):
+            names = _CAMEL.sub(" ", _LAYOUT.sub(" ", names))
+            if _STICKY.search(names):
+                self.hard = True
+            elif _SIDE.search(names):
+                # Beside the article: inside it never text, around it perhaps a
+                # frame that also holds the article.
+                self.hard, self.soft = self.hard or self.good == 2, True
+            elif _SOFT.search(names):
+                self.soft = self.good < 2
             elif _GOOD.search(names):
                 self.good = max(self.good, 1)
 

@@ -325,6 +325,20 @@ def test_main_text():
     assert htmltext.main_text(PAGE) == "A & B\nFirst paragraph one.\nSecond line\nOk\nitem one\nitem two"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='container with-sidebar has-comments'><article class='post tag-social'><header><h1>Head</h1></header><p>Body.</p><div class='share'>Share</div><div class=sidebar><p>Side side side.</p></div></article><div class='sidebar'>More</div></div>", "Head\nBody."),
+        ("<main><div class=post-header><h1>Head</h1></div><p>Body.</p><div class='newsletterBox'>x</div><div class=breadcrumbs>a</div><section class='comments-area'><p>Long reader words, at some length, here.</p></section></main>", "Head\nBody."),
+        ("<article><p>A<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table><pre> x\n y</pre><blockquote>q</blockquote></article>", "A\n1 2\n3\nx y\nq"),
+        ("<article><p>One</p><div role=alert>Note!</div><div hidden>gone</div><div style='display: none'>gone</div><button>Go</button><select><option>o</select></article><article class='comment'>No.</article>", "One"),
+        ("<ARTICLE><P>Caf&eacute; &#233; &#xE9; &copy &notit; &amp;amp;</P></ARTICLE>", "Café é é © ¬it; &amp;"),
+    ],
+)
+def test_main_text_of_layouts(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>{'Long sentences make up the text of a page. ' * 4}</p>" for _ in range(3))
     got = htmltext.main_text(f"<body><div class=menu><a href=x>One</a> <a href=y>Two</a></div><div class=content><h2>Head</h2>{body}<p>Ok.</p></div><div id=footer>Imprint</div>")
