@@ -22,9 +22,13 @@ from .quality import labelled
 
 #: Labelled documents that training takes at most; which ones, a hash decides.
 SAMPLE = 20_000
-#: Words in the learned lexicon at most, and labelled documents that must have one.
-LEXICON = 200
+#: Entries in the learned lexicon at most, toxic documents of the sample that must
+#: have one, and the log of the least lift, two standard errors off, to be learned.
+LEXICON = 1000
 SUPPORT = 4
+LIFT = 1.5
+#: Lengths of the word beginnings that are learned beside whole words.
+STEMS = range(4, 9)
 TREES, DEPTH, RATE, BINS, FOLDS, LEAST = 60, 3, 0.15, 32, 4, 8.0
 
 # Insults in the languages of the corpora, lower case.
@@ -36,56 +40,77 @@ INSULTS = frozenset(
     """.split()
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur du dein deine euch ihr tu toi ton ta vous votre vos te tú usted ustedes".split())
-_WORDS = frozenset(w.encode() for w in INSULTS)
-_YOU = frozenset(w.encode() for w in SECOND_PERSON)
 _SEPARATORS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
 _OBFUSCATED = re.compile(rb"(?<![A-Za-z])[A-Za-z]++[0-9@$!*|][0-9@$!*|A-Za-z]*[A-Za-z]|[0-9@$|][A-Za-z][0-9@$!*|A-Za-z]*[A-Za-z]|(?<![A-Za-z])(?:[A-Za-z][ .*_-]){3,}[A-Za-z](?![A-Za-z])")
-FEATURES = 14
+FEATURES = 16
 
 
-def words(raw: bytes) -> list[bytes]:
-    """Lower-cased runs of letters; bytes above ASCII count as letters."""
-    return raw.translate(_SEPARATORS).split()
+def words(raw: bytes) -> list[str]:
+    """Lower-cased runs of letters; characters above ASCII count as letters."""
+    return raw.translate(_SEPARATORS).decode(errors="replace").lower().split()
 
 
-def hidden(raw: bytes) -> list[bytes]:
+def hidden(raw: bytes) -> list[str]:
     """Words written with digits, signs or gaps between letters, undone."""
-    return [re.sub(rb"[^a-z]", b"", m.translate(_LEET).lower()) for m in _OBFUSCATED.findall(raw)]
+    return [re.sub(rb"[^a-z]", b"", m.translate(_LEET).lower()).decode() for m in _OBFUSCATED.findall(raw)]
 
 
-def features(raw: bytes, learned: frozenset[bytes]) -> list[float]:
+class Lexicon:
+    """Learned words, and learned beginnings of words (written with a final ``*``)."""
+
+    def __init__(self, entries):
+        self.words = frozenset(e for e in entries if not e.endswith("*"))
+        self.stems = frozenset(e[:-1] for e in entries if e.endswith("*"))
+        self.lengths = sorted({len(s) for s in self.stems})
+
+    def begins(self, own: list[str]) -> list[int]:
+        """Numbers of the words that begin with a learned stem."""
+        found: set[int] = set()
+        for n in self.lengths:
+            stems = self.stems
+            found.update(i for i, w in enumerate(own) if w[:n] in stems)
+        return sorted(found)
+
+
+def features(raw: bytes, learned: Lexicon) -> list[float]:
     own, masked = words(raw), hidden(raw)
     n = max(len(own), 1)
     a = np.frombuffer(raw, np.uint8)
     size = max(len(a), 1)
     upper = int(((a >= 65) & (a <= 90)).sum())
     lower = int(((a >= 97) & (a <= 122)).sum())
-    fixed = [i for i, w in enumerate(own) if w in _WORDS]
-    taught = [i for i, w in enumerate(own) if w in learned]
-    you = [i for i, w in enumerate(own) if w in _YOU]
-    masked_hits = sum(w in _WORDS or w in learned for w in masked)
-    insults = np.array(sorted({*fixed, *taught}))
+    fixed = [i for i, w in enumerate(own) if w in INSULTS]
+    taught = [i for i, w in enumerate(own) if w in learned.words]
+    begun = learned.begins(own)
+    you = [i for i, w in enumerate(own) if w in SECOND_PERSON]
+    masked_hits = sum(w in INSULTS or w in learned.words for w in masked)
+    insults = np.array(sorted({*fixed, *taught, *begun}))
     near = sum(bool(len(insults)) and int(np.abs(insults - i).min()) <= 5 for i in you)
     return [
-        len(fixed), 100 * len(fixed) / n, len(taught), 100 * len(taught) / n, len({own[i] for i in (*fixed, *taught)}),
+        len(fixed), 100 * len(fixed) / n, len(taught), 100 * len(taught) / n, len(begun), 100 * len(begun) / n, len({own[i] for i in (*fixed, *taught, *begun)}),
         masked_hits, 100 * masked_hits / n, 100 * len(masked) / n, 100 * len(you) / n, near,
         upper / max(upper + lower, 1), 100 * raw.count(b"!") / size, 100 * (raw.count(b"?") + raw.count(b"*") + raw.count(b"#")) / size, np.log1p(n),
     ]
 
 
+def entries(raw: bytes) -> set[str]:
+    """What a text could teach: its words and their beginnings."""
+    own = {*words(raw), *hidden(raw)}
+    return own | {w[:n] + "*" for w in own for n in STEMS if len(w) > n}
+
+
 def _word_sets():
     def step(batch):
-        found = [sorted({*words(raw)} | {*hidden(raw)}) for raw in raw_texts(batch.column(0))]
-        return batch.column(1), [[w.decode(errors="replace") for w in f] for f in found]
+        return batch.column(1), [sorted(entries(raw)) for raw in raw_texts(batch.column(0))]
 
     return step
 
 
-def learn_lexicon(sample: DataFrame) -> frozenset[bytes]:
-    """Words that occur far oftener in toxic documents of the sample: at least
-    ``SUPPORT`` of them, at most ``LEXICON`` words, best first. Counts are partial
-    aggregates; only the chosen words reach the driver."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Words and beginnings of words that occur far oftener in toxic documents of
+    the sample: in at least ``SUPPORT`` of them, at most ``LEXICON`` entries, best
+    first. Counts are partial aggregates; only the chosen reach the driver."""
     sets = arrow_map(sample, {"text": F.col("text"), "y": F.col("y")}, _word_sets, "y int, words array<string>")
     totals = sample.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
     toxic, clean = (totals["toxic"] or 0) + 1, totals["n"] - (totals["toxic"] or 0) + 1
@@ -93,8 +118,8 @@ def learn_lexicon(sample: DataFrame) -> frozenset[bytes]:
     lift = F.log((F.col("bad") + 0.5) / toxic) - F.log((F.col("good") + 0.5) / clean)
     # Two standard errors of the log ratio below the lift.
     sure = lift - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = by_word.where(F.col("bad") >= SUPPORT).withColumn("sure", sure).where(F.col("sure") > 1.0).orderBy(F.desc("sure"), "word").limit(LEXICON)
-    return frozenset(r["word"].encode() for r in best.collect())
+    best = by_word.where(F.col("bad") >= SUPPORT).withColumn("sure", sure).where(F.col("sure") > LIFT).orderBy(F.desc("sure"), "word").limit(LEXICON)
+    return Lexicon([r["word"] for r in best.collect()])
 
 
 class Trees:
@@ -170,7 +195,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, lexicon: frozenset[bytes], trees: Trees, steps: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, lexicon: Lexicon, trees: Trees, steps: tuple[np.ndarray, np.ndarray]):
         self.lexicon, self.trees, self.steps = lexicon, trees, steps
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -183,7 +208,7 @@ class Model:
         return 0.999 * level + 0.001 / (1 + np.exp(-raw))
 
 
-def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: frozenset[bytes]) -> Model:
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:
     trees = boost(x, y)
     if len(y) < 10 * FOLDS or y.min() == y.max():
         return Model(lexicon, trees, (np.array([]), np.array([])))
@@ -193,7 +218,7 @@ def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: frozenset[byt
     return Model(lexicon, trees, isotonic(out, y))
 
 
-def _rows(lexicon: frozenset[bytes]):
+def _rows(lexicon: Lexicon):
     def make():
         def step(batch):
             return batch.column(0), [features(raw, lexicon) for raw in raw_texts(batch.column(1))], batch.column(2)
