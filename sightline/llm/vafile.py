@@ -23,8 +23,9 @@ SCALE = 1024
 CELLS = 64
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
-#: Largest size of a scaled component; beyond it a score may not fit a long.
-LARGEST = 1 << 27
+#: Largest size of a scaled component. Scores that leave 64 bits are computed
+#: exactly and returned as the nearest long.
+LARGEST = 1 << 61
 
 
 def scaled(vector: Column) -> Column:
@@ -50,11 +51,15 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     the smaller id; a vector with the query's own id is left out."""
     code, low, width = cells(vectors)
     lower = (code * width + low).astype(np.float64)
-    upper = np.minimum(lower + (width - 1), vectors.max(axis=0))
+    upper = np.minimum(lower + (width - 1), vectors.max(axis=0).astype(np.float64))
     # Sums of whole numbers are exact below 2**53; larger ones get room for rounding.
     reach = float(np.abs(queries).max()) * float(np.abs(vectors).max() + 1) * vectors.shape[1]
     room = reach * 2.0**-40 if reach >= 2.0**53 else 0.0
+    whole = reach < 2.0**62
+    if not whole:
+        vectors, queries = vectors.astype(object), queries.astype(object)
     bound = room + np.maximum(queries, 0).astype(np.float64) @ upper.T + np.minimum(queries, 0).astype(np.float64) @ lower.T
+    bound[:] = np.maximum(bound, -np.finfo(float).max)
     out = []
     for q in range(len(queries)):
         bounds = np.where(ids == query_ids[q], -np.inf, bound[q])
@@ -63,25 +68,26 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
             piece = min(piece, n)
             near = np.argpartition(-bounds, piece - 1)[:piece] if 0 < piece < len(bounds) else np.flatnonzero(bounds > -np.inf)
             scores = vectors[near] @ queries[q]
-            order = np.lexsort((ids[near], -scores))[:k]
+            order = np.lexsort((ids[near], -scores))[:k] if whole else np.array(sorted(range(len(near)), key=lambda i: (-scores[i], ids[near[i]]))[:k], int)
             if piece >= n:
                 break
             beyond = np.partition(bounds, len(bounds) - piece - 1)[len(bounds) - piece - 1]
             if len(order) == k and scores[order[-1]] > beyond:
                 break
             piece *= 4
-        out.append((np.full(len(order), q), near[order], scores[order]))
+        most = np.iinfo(np.int64)
+        out.append((np.full(len(order), q), near[order], scores[order] if whole else np.array([min(max(s, most.min), most.max) for s in scores[order]], np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _search(k: int):
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n": []}, dtype="int64")
         queries, vectors = (np.stack(x["v"].to_numpy()).astype(np.int64) for x in (left, right))
         ids, query_ids = right["id"].to_numpy(np.int64), left["id"].to_numpy(np.int64)
         q, v, score = best(queries, query_ids, vectors, ids, k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[v], "score": score})
+        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[v], "score": score, "n": right["n"].to_numpy(np.int64)[v]})
 
     return search
 
@@ -98,7 +104,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
         v = F.col(embedding)
         return df.where(usable(v) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), scaled(v).alias("v")).withColumn("dim", F.size("v"))
 
-    asked, stored = read(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), read(vectors)
+    asked = read(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    # Rows that repeat are one with a count, so that no block fills up with them.
+    stored = read(vectors).groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
     n_asked, n_stored = queries.count(), vectors.count()
     q_blocks, v_blocks = math.ceil(n_asked / QUERY_BLOCK) or 1, math.ceil(n_stored / VECTOR_BLOCK) or 1
 
@@ -108,6 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     own_q, own_v = F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"), F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int")
     left = asked.withColumn("qb", own_q).withColumn("vb", F.explode(numbers(v_blocks))).groupBy("dim", "qb", "vb")
     right = stored.withColumn("vb", own_v).withColumn("qb", F.explode(numbers(q_blocks))).groupBy("dim", "qb", "vb")
-    found = left.cogroup(right).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    found = left.cogroup(right).applyInPandas(_search(k), "query_id long, vec_id long, score long, n long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))))
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
