@@ -64,13 +64,17 @@ class Lexicon:
         self.stems = frozenset(e[:-1] for e in entries if e.endswith("*"))
         self.lengths = sorted({len(s) for s in self.stems})
 
-    def begins(self, own: list[str]) -> list[int]:
-        """Numbers of the words that begin with a learned stem."""
-        found: set[int] = set()
+    def begun(self, own: set[str]) -> set[str]:
+        """The words that begin with a learned stem."""
+        found: set[str] = set()
         for n in self.lengths:
-            stems = self.stems
-            found.update(i for i, w in enumerate(own) if w[:n] in stems)
-        return sorted(found)
+            if hits := {w[:n] for w in own} & self.stems:
+                found |= {w for w in own if w[:n] in hits}
+        return found
+
+
+def _places(own: list[str], hits: set[str]) -> list[int]:
+    return [i for i, w in enumerate(own) if w in hits] if hits else []
 
 
 def features(raw: bytes, learned: Lexicon) -> list[float]:
@@ -80,10 +84,8 @@ def features(raw: bytes, learned: Lexicon) -> list[float]:
     size = max(len(a), 1)
     upper = int(((a >= 65) & (a <= 90)).sum())
     lower = int(((a >= 97) & (a <= 122)).sum())
-    fixed = [i for i, w in enumerate(own) if w in INSULTS]
-    taught = [i for i, w in enumerate(own) if w in learned.words]
-    begun = learned.begins(own)
-    you = [i for i, w in enumerate(own) if w in SECOND_PERSON]
+    distinct = set(own)
+    fixed, taught, begun, you = (_places(own, hits) for hits in (distinct & INSULTS, distinct & learned.words, learned.begun(distinct), distinct & SECOND_PERSON))
     masked_hits = sum(w in INSULTS or w in learned.words for w in masked)
     insults = np.array(sorted({*fixed, *taught, *begun}))
     near = sum(bool(len(insults)) and int(np.abs(insults - i).min()) <= 5 for i in you)

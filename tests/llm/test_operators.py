@@ -161,9 +161,11 @@ def test_boosted_trees_and_isotonic():
 
 
 def test_obfuscated_insults_count():
-    plain, masked = (toxicity.features(t, frozenset()) for t in (b"you idiot", b"you 1d10t and s.t.u.p.i.d one"))
-    assert plain[0] == 1 and plain[9] == 1
-    assert masked[0] == 0 and masked[5] == 2
+    plain, masked = (toxicity.features(t, toxicity.Lexicon([])) for t in (b"you idiot", b"you 1d10t and s.t.u.p.i.d one"))
+    assert plain[0] == 1 and plain[11] == 1
+    assert masked[0] == 0 and masked[7] == 2
+    taught = toxicity.features("vilx vilya good vil".encode(), toxicity.Lexicon(["vilx", "vily*"]))
+    assert taught[2] == 1 and taught[4] == 1
 
 
 # --- urls --------------------------------------------------------------------
@@ -454,7 +456,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vafile, "QUERY_BLOCK", 2)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.choice([-0.5, 0.25, 0.1, 2.0], 6)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (None, [0.1] * 6), (400, [0.1, 0.2]), (401, [0.1, 0.3]), (7, [2.0] * 6)]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (None, [0.1] * 6), (400, [0.1, 0.2]), (401, [0.1, 0.3]), (7, [2.0] * 6), *[(9, [2.0] * 6)] * 3]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x")).withColumn("v", F.lit(0))
     got = {}
     for r in vafile.top_k(df, df.where("vec_id % 100 = 0")).collect():
@@ -467,13 +469,15 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert vafile.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
-def test_bounds_hold_for_large_components():
+@pytest.mark.parametrize("bits", [20, 27, 40, 60])
+def test_bounds_hold_for_large_components(bits):
     rng = np.random.default_rng(2)
-    v = rng.integers(-(1 << 27), 1 << 27, (200, 32))
+    v = rng.integers(-(1 << bits), 1 << bits, (200, 32))
     q, at, score = vafile.best(v[:5], np.arange(5), v, np.arange(200), 10)
     for k in range(5):
         exact = [(-sum(int(a) * int(b) for a, b in zip(v[k], w, strict=True)), j) for j, w in enumerate(v) if j != k]
-        assert [(-int(s), int(j)) for s, j in zip(score[q == k], at[q == k], strict=True)] == sorted(exact)[:10]
+        top = [(max(s, -(2**63) + 1), j) for s, j in sorted(exact)[:10]]
+        assert [(-int(s), int(j)) for s, j in zip(score[q == k], at[q == k], strict=True)] == top
 
 
 # --- byte-level BPE ----------------------------------------------------------
