@@ -32,7 +32,13 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _GITHUB = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+# A private key from its BEGIN line over headers and base64 to its END line, or, if
+# that is missing, to the end of the base64; line breaks may be escaped or quoted.
+_GAP = rb"""(?:[\s>#*|"',;]|\\+[nrt])"""
+_HEADERS = rb"(?:" + _GAP + rb"*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+(?=[\r\n\\]))*+"
+_WHOLE = _HEADERS + rb"(?:[A-Za-z0-9+/=]|" + _GAP + rb")*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_OPEN = _HEADERS + rb"(?:" + _GAP + rb"++[A-Za-z0-9+/]{24,}+={0,2})++(?:" + _GAP + rb"++(?:(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]++|[A-Za-z]++(?=\s*(?:[\r\n\\\"']|\Z))))?+"
+_PEM = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:" + _WHOLE + rb"|" + _OPEN + rb")?")
 #: Keyword, kind and pattern; a keyword starts the pattern's match.
 _RULES = [(k, "assign", _ASSIGN) for k in ("password", "passwd", "secret", "token", "api_key", "apikey")] + [("akia", "access", _ACCESS)] + [(f"gh{c}_", "github", _GITHUB) for c in "pousr"] + [("npm_", "npm", _NPM), ("eyj", "jwt", _JWT), ("-----begin ", "pem", _PEM)]
 _HEX_DIGITS = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
