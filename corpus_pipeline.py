@@ -29,7 +29,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of least doc_id."""
+    """One document of each near-duplicate group stays, with or without an id."""
     return simhash.deduplicate(docs.select(*COLUMNS))
 
 

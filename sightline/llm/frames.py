@@ -56,6 +56,12 @@ def _arrow_type(name: str) -> pa.DataType:
     return plain[name]
 
 
+def row_key(names: list[str] | tuple[str, ...]) -> Column:
+    """128 bits of all the named columns; hashes skip nulls, so those are said apart."""
+    said = [x for c in names for x in (F.col(c), F.col(c).isNull())]
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *said)) for k in (1, 2)])
+
+
 def raw_texts(column: pa.Array):
     """The UTF-8 bytes of each text, without building Python strings; null: empty."""
     if column.type != pa.binary():

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_map, cut, raw_texts
+from .frames import arrow_map, cut, raw_texts, row_key
 from .graph import connected_components
 
 SEED = 42
@@ -63,6 +63,10 @@ def _fingerprints():
     return step
 
 
+def _with_row(step):
+    return lambda batch: (*step(batch), batch.column(2))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fp long)``, a row for each row; null text: as an empty one."""
     return arrow_map(docs, {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text)}, _fingerprints, "doc_id long, fp long")
@@ -127,11 +131,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one of least doc_id, and
-    of rows that repeat that id the least by text. Rows without an id stay."""
-    from pyspark.sql import Window
-
-    stay = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), *[F.col(c) for c in docs.columns if c != doc_id])
-    one = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi").withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
-    return one.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of each near-duplicate group: the least by doc_id (null ids last),
+    fingerprint and hash of all columns. Ids may be null or repeat."""
+    keyed = docs.withColumn("_row", row_key(docs.columns))
+    columns = {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text), "row": F.col("_row")}
+    marked = cut(arrow_map(keyed, columns, lambda: _with_row(_fingerprints()), "doc_id long, fp long, row string"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
+    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"))
+    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    stay = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
+    # Rows alike in every column are one.
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

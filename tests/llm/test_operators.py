@@ -105,6 +105,13 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [3, 7, 8]
 
 
+def test_deduplicate_with_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d = (words(rng, 50) for _ in range(4))
+    got = simhash.deduplicate(frame(spark, [a, a, b, c, c, d, d, d], [3, 7, 7, None, None, 9, None, 9]))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("3", a), ("7", b), ("None", c), ("9", d)])
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (1, 0)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
