@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import bpe, mixing, quality, secrets, simhash
-from sightline.llm.frames import table
+from sightline.llm.frames import row_key, table
 from sightline.llm.queries import RANKS
 
 #: The columns of documents.
@@ -42,9 +42,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it, 0 to 3 times."""
     docs = docs.select(*COLUMNS)
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.n_words(F.col("text")) == F.col("_size"))
-    return docs.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
+    # A row is known by all its columns, as ids may be null or repeat; rows alike in
+    # everything add up their copies.
+    docs = docs.withColumn("_row", row_key(COLUMNS))
+    copies = mixing.mix(docs, carry=("_row",)).where("copies > 0").groupBy("_row").agg(F.sum("copies").alias("_copies"))
+    return docs.join(copies, "_row").dropDuplicates(["_row"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

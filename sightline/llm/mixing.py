@@ -140,14 +140,15 @@ def _plan(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": rows["source"], "size": lengths, "docs": counts, "copies": copies, "more": [more.get(n, 0) for n in lengths]})
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source, source_size, target, copies)``, a row for each row.
 
     ``copies`` is how often the mix takes the row, 0 to 3. Null texts have size 0
     and aren't taken; a null source is a source of its own, last in order; rows
-    alike in id, source and size are interchangeable. Same input, same result.
+    alike in id, source and size are interchangeable, but for columns to ``carry``,
+    which come along with their row. Same input, same result.
     """
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")))
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *carry))
     counted = cut(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
     aims = cut(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))))
     same = F.col("c.source").eqNullSafe(F.col("a.source"))
@@ -159,16 +160,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     parts = F.greatest(F.lit(1), (F.col("p.docs") / PART).cast("long"))
     open_ = F.col("p.more").between(1, F.col("p.docs") - 1)
     planned = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
-    placed = planned.select("doc_id", "d.source", "d.size", "copies", "more", open_.alias("open"), mark.alias("mark"), F.when(open_, F.pmod(F.shiftright(mark, 20), parts)).alias("part"))
+    placed = planned.select("doc_id", "d.source", "d.size", "copies", "more", open_.alias("open"), mark.alias("mark"), F.when(open_, F.pmod(F.shiftright(mark, 20), parts)).alias("part"), *carry)
     part = ["source", "size", "part"]
     many = placed.where("open").groupBy(*part, "more").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = many.withColumn("quota", F.col("more") - F.coalesce(F.sum("n").over(earlier), F.lit(0))).select(*part, "quota")
-    ranked = placed.where("open").withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("mark", "doc_id")))
+    ranked = placed.where("open").withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy("mark", "doc_id", *carry)))
     q = quota.alias("q")
     on = F.col("r.source").eqNullSafe(F.col("q.source")) & (F.col("r.size") == F.col("q.size")) & (F.col("r.part") == F.col("q.part"))
-    fitted = ranked.alias("r").join(q, on).select("doc_id", "r.source", "r.size", (F.col("copies") + (F.col("r") <= F.col("quota")).cast("long")).alias("copies"))
-    whole = placed.where("NOT open").select("doc_id", "source", "size", (F.col("copies") + (F.col("more") > 0).cast("long")).alias("copies"))
+    fitted = ranked.alias("r").join(q, on).select("doc_id", "r.source", "r.size", (F.col("copies") + (F.col("r") <= F.col("quota")).cast("long")).alias("copies"), *carry)
+    whole = placed.where("NOT open").select("doc_id", "source", "size", (F.col("copies") + (F.col("more") > 0).cast("long")).alias("copies"), *carry)
     taken = whole.unionByName(fitted)
-    return taken.alias("t").join(F.broadcast(aims.alias("a")) if aims.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else aims.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies")
+    return taken.alias("t").join(F.broadcast(aims.alias("a")) if aims.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else aims.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies", *carry)
 

@@ -592,3 +592,23 @@ def test_pipeline_stages_on_hard_rows(spark, sf_dir):
     for _, stage in P.STAGES:
         assert stage(spark, hard, sf_dir).count() >= 0
         assert stage(spark, hard.limit(0), sf_dir).count() == 0
+
+
+def test_source_mix_takes_rows_as_the_mix_does(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rng = random.Random(6)
+    texts = [words(rng, rng.choice([5, 9])) for _ in range(400)]
+    docs = frame(spark, texts, [None if k % 3 == 0 else k % 7 for k in range(400)], ["a"] * 250 + ["b"] * 100 + ["c"] * 50)
+
+    def taken(rows):
+        sizes = {}
+        for source, words, copies in rows:
+            sizes[source, words] = sizes.get((source, words), 0) + copies
+        return {k: n for k, n in sizes.items() if n}
+
+    want = mixing.mix(docs).collect()
+    got = P.source_mix(spark, docs, sf_dir).collect()
+    assert taken((r["source"], len(r["text"].split()), 1) for r in got) == taken((r["source"], r["size"], r["copies"]) for r in want)
+    times = {t: [r["text"] for r in got].count(t) for t in texts}
+    assert max(times.values()) <= 3
