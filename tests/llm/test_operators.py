@@ -360,6 +360,20 @@ def test_main_text_of_layouts(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<svg class='i'/><article><p>Body.</p></article>",
+        "<article><math display=block /><p>Body.</p><svg viewBox='0 0 1 1'><path d='M0'/><text>No</text></svg></article>",
+        "<title-bar>x</title-bar><svg-icon name=i></svg-icon><article><p>Body.</p></article>",
+        "<body aria-hidden='false'><article data-title='The hidden cost'><p>Body.</p></article>",
+        "<main data-role='navigation' data-class=nav><p>Body.</p><div hidden>gone</div><div class=ad id='x'>gone</div></main>",
+    ],
+)
+def test_main_text_keeps_what_looks_like_markup_to_drop(page):
+    assert htmltext.main_text(page).split("\n")[-1] == "Body."
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>{'Long sentences make up the text of a page. ' * 4}</p>" for _ in range(3))
     got = htmltext.main_text(f"<body><div class=menu><a href=x>One</a> <a href=y>Two</a></div><div class=content><h2>Head</h2>{body}<p>Ok.</p></div><div id=footer>Imprint</div>")
