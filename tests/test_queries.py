@@ -43,3 +43,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_ratio_match_over_many_descriptors_equals_its_sql(spark, tmp_path):
+    """More descriptors than one block has; the first keys aren't the nearest."""
+    c = duckdb.connect()
+    c.sql(f"copy (select (range * 7 + 1)::bigint as s_suppkey from range(5000)) to '{tmp_path}/supplier.parquet'")
+    c.sql(f"copy (select (range + 1)::bigint as p_partkey from range(300)) to '{tmp_path}/part.parquet'")
+    for t in ("supplier", "part"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    got = plans.QUERIES["lowe_ratio_match"](spark, str(tmp_path)).collect()
+    assert got and sorted(map(tuple, got)) == sorted(c.sql(plans.ORACLE_SQL["lowe_ratio_match"]).fetchall())
+
+
+def test_world_map_has_all_sectors(spark, tmp_path):
+    from sightline.plans import machines
+
+    spark.range(1200).selectExpr("id AS n_nationkey", "string(id) AS n_name", "id % 5 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    assert len(machines.sector_list(spark, str(tmp_path))) == 1200
