@@ -146,16 +146,31 @@ def grid_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.join(prior, "camera_id").select("frame_id", "p", fixed.alias("luma"), on.alias("corrected"))
 
 
+#: Mean flow of a frame with motion, and how many such frames teach the marks.
+MOTION, SAMPLES = 0.4, 30
+
+
 @query()
 def artifact_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks on the lens from thirty frames with motion; too large a mask is none."""
+    """Marks on the lens from a camera's first thirty frames with motion, as a still
+    scene would be learned too; too large a mask, or fewer such frames, is none."""
     from .imaging import frames
 
-    first = frames(spark, sf_dir).withColumn("turn", F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_id"))).where("turn <= 30")
+    every = frames(spark, sf_dir)
+    two = every.withColumn("before", F.lag("luma").over(Window.partitionBy("camera_id").orderBy("frame_id"))).where("before IS NOT NULL")
+
+    def moving(batches):
+        for b in batches:
+            mean = [np.hypot(*np.moveaxis(K.flow(np.asarray(p, float).reshape(-1, 8), np.asarray(v, float).reshape(-1, 8)), -1, 0)).mean() for p, v in zip(b["before"], b["luma"], strict=True)]
+            yield b.loc[np.asarray(mean) >= MOTION, ["camera_id", "frame_id", "luma"]]
+
+    moved = two.select("camera_id", "frame_id", "before", "luma").mapInPandas(moving, "camera_id long, frame_id long, luma array<double>")
+    first = moved.withColumn("turn", F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_id"))).where(F.col("turn") <= SAMPLES)
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         stack = [np.asarray(v, float).reshape(-1, 8) for v in rows.sort_values("frame_id")["luma"]]
-        mask = K.artifact_mask(stack, threshold=30.0, radius=0, most=0.2)
+        mask = K.artifact_mask(stack) if len(stack) == SAMPLES else None
         return pd.DataFrame({"camera_id": [rows["camera_id"].iloc[0]], "accepted": [mask is not None], "marked": [int(mask.sum()) if mask is not None else 0]})
 
-    return first.select("camera_id", "frame_id", "luma").groupBy("camera_id").applyInPandas(learn, "camera_id long, accepted boolean, marked int")
+    learned = first.select("camera_id", "frame_id", "luma").groupBy("camera_id").applyInPandas(learn, "camera_id long, accepted boolean, marked int")
+    return every.select("camera_id").distinct().join(learned, "camera_id", "left").select("camera_id", F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("marked", F.lit(0)).alias("marked"))

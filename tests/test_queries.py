@@ -61,3 +61,15 @@ def test_world_map_has_all_sectors(spark, tmp_path):
 
     spark.range(1200).selectExpr("id AS n_nationkey", "string(id) AS n_name", "id % 5 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
     assert len(machines.sector_list(spark, str(tmp_path))) == 1200
+
+
+def test_artifact_marks_learn_from_moving_frames_only(spark, tmp_path):
+    """Camera 0 is still at first, with a bright thing in view; camera 1 stays so."""
+    import numpy as np
+
+    rng, still = np.random.default_rng(5), np.full(64, 128.0)
+    still[27] = 250
+    rows = [(2 * k + c, ((still if c or k < 40 else rng.normal(128, 20, 64)) / 212 - 0.6).tolist()) for k in range(80) for c in (0, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["camera_id"]: (r["accepted"], r["marked"]) for r in plans.QUERIES["artifact_marks"](spark, str(tmp_path)).collect()}
+    assert got == {0: (True, 0), 1: (False, 0)}
