@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; bounds a worker's memory on long texts.
+#: Rows that a function over Arrow batches is given at once.
 BATCH_ROWS = 1000
 
 
@@ -16,33 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset one of our own,
+    in local mode only: the nodes of a cluster share no local folder."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+    return tempfile.mkdtemp(prefix="sightline-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder of ``spark.checkpoint.dir``; a folder of
-    our own is set only where that setting is absent (tests)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Checkpoint ``df`` in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sightline-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def arrow_map(df: DataFrame, columns: dict[str, Column], make, schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Run ``make()``'s function over Arrow batches of the named columns only.
 
-    ``make`` is called once a partition; its function takes a RecordBatch and
-    returns the output columns in the order of ``schema``.
+    ``make`` is called once a partition; its function takes a RecordBatch of
+    ``batch_rows`` rows at most and returns the output columns in the order of
+    ``schema``. The session's own batch size stays as it is.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
-    target = spark.createDataFrame([], schema).schema
+    target = df.sparkSession.createDataFrame([], schema).schema
     names = target.fieldNames()
     types = {f.name: _arrow_type(f.dataType.simpleString()) for f in target}
 
     def run(batches):
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
+        for whole in batches:
+            for low in range(0, whole.num_rows, batch_rows):
+                out = step(whole.slice(low, batch_rows))
                 arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, types[n]) for n, x in zip(names, out, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -56,10 +63,46 @@ def _arrow_type(name: str) -> pa.DataType:
     return plain[name]
 
 
-def row_key(names: list[str] | tuple[str, ...]) -> Column:
-    """128 bits of all the named columns; hashes skip nulls, so those are said apart."""
-    said = [x for c in names for x in (F.col(c), F.col(c).isNull())]
-    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(k), *said)) for k in (1, 2)])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that together tell each row from all others, and their
+    names: a hash of the row, and its file and place there. Rows of anything but
+    files have no such place and are checkpointed with a number instead."""
+    names = fresh(df, "row_hash", "row_file", "row_place")
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    if node.nodeName().startswith("LogicalRelation") and not node.metadataOutput().isEmpty():
+        kept = df.withColumns({names[1]: F.col("_metadata.file_path"), names[2]: F.col("_metadata.row_index")})
+    else:
+        kept = cut(df.withColumns({names[1]: F.lit(""), names[2]: F.monotonically_increasing_id()}))
+    return kept.withColumn(names[0], F.xxhash64(*plain)), names
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place in ``order``, from 0. Ranges of rows are sorted
+    and counted apart; only their counts reach the driver."""
+    (at,) = fresh(df, "at")
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    counts = sorted(sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return sorted_.withColumn(name, F.col(at)).drop(at)
+    before, total = {}, 0
+    for p, n in counts:
+        before[p], total = total, total + n
+    first = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])
+    return sorted_.withColumn(name, F.element_at(first, part) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at)
 
 
 def raw_texts(column: pa.Array):

@@ -11,34 +11,40 @@ from .frames import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round of large-star or small-star (Kiveris et al., 2014).
 
-    The minimum of each neighbourhood is a partial aggregate and comes back by
-    a join, so that a hub is never gathered in one task.
+    The minimum of each neighbourhood is a partial aggregate, is written out and
+    comes back by a join of plain exchanges, so that a hub's rows split over tasks.
     """
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     met = near.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(u long, v long)`` to ``(node, root)``, root: the least node reachable.
+def forest(edges: DataFrame) -> DataFrame:
+    """``edges(u long, v long)`` to ``(node, root)`` for every node but the roots;
+    root: the least node reachable.
 
-    Nodes without an edge to another node aren't returned; null ends and loops
-    are ignored; repeated and reversed edges are as one; no edges: no rows.
+    Null ends and loops are ignored; repeated and reversed edges are as one; no
+    edges: no rows.
     """
     edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
         mark = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if not mark["n"] or (mark["n"], mark["x"]) == seen:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = (mark["n"], mark["x"])
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        edges = cut(_star(cut(_star(edges, True)), False))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``forest`` with the roots: every node that has an edge to another one."""
+    found = forest(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -2,26 +2,29 @@
 
 Documents are counted by exact length. Every document of a source is taken as
 often as its budget allows in full; the words that remain are fitted by length
-counts: an even share of each length first, then a bounded-knapsack dynamic
-program for the rest, which is below ``DP_WORDS`` after longest-first filling.
+counts: an even share of each length first, longest first, each passing on what it
+leaves over, then a bounded-knapsack dynamic program for the remaining budget.
 Documents are then chosen by seeded hash within their length.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut
+from .frames import cut, ranked
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 7
-#: Budget that the dynamic program fits at most, in words.
-DP_WORDS = 1 << 16
-#: Documents of each length that the even share leaves to the program at first.
-SPARE = 8
+#: Words that the even share gives back to the program, and documents of a length
+#: that it gives back, both at first.
+GIVEN_BACK, SPARE = 1 << 14, 8
+#: Words given back above which a miss is let be: it is below the shortest length
+#: that has documents left.
+MOST_BACK = 1 << 18
 #: Documents of equal length are ranked in parts of about this many.
 PART = 200
 #: Sources up to which their totals are broadcast.
@@ -37,23 +40,21 @@ def targets(totals: DataFrame) -> DataFrame:
     """``totals(source, source_size)`` with ``target``: shares by weight of the sum
     of all sizes, none above three times its size, the excess reshared.
 
-    With caps c and weights w the targets are min(c, x * w) for the one x that
-    adds up to the sum; sorted by c / w, the sources up to some place are capped.
-    From that place on the levels computed as if all before were capped only fall.
+    Round by round, sources whose share at the present level (words a weight) is
+    above their cap are held there and the others share the rest, until none is
+    above; the level only rises. Sources are ranked in ranges, and a round is one
+    sum over them, so there may be any number.
     """
-    everything = Window.partitionBy()
-    by_source = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(by_source) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (turn + 1).cast("int"))
-    cap = (F.col("source_size") * MOST_COPIES).cast("double")
-    weighed = totals.withColumn("w", weight).withColumn("cap", cap).withColumn("all", F.sum("source_size").over(everything).cast("double"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    left = F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = weighed.withColumn("x", left / F.sum("w").over(onward)).withColumn("open", F.col("x") * F.col("w") <= F.col("cap"))
-    first = F.max(F.when(F.col("open"), F.col("x"))).over(everything)
-    return level.select("source", "source_size", F.least("cap", F.coalesce(first * F.col("w"), F.col("cap"))).alias("target"))
+    placed = ranked(totals, [F.col("source").isNull(), F.col("source")], "turn")
+    weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("turn") % len(WEIGHTS) + 1).cast("int"))
+    weighed = cut(placed.select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * MOST_COPIES).cast("double").alias("cap")))
+    level, held = 0.0, -1
+    while True:
+        above = F.col("w") * level > F.col("cap")
+        got = weighed.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("cap"))).alias("fixed"), F.sum(F.when(~above, F.col("w"))).alias("open"), F.count_if(above).alias("held")).first()
+        if got["held"] == held or not got["open"]:
+            return weighed.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
+        level, held = (float(got["all"]) - (got["fixed"] or 0.0)) / got["open"], got["held"]
 
 
 def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
@@ -61,69 +62,80 @@ def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]
     ``budget`` from below as can be: an even share of each length, of which the
     program gets some back to fit the rest, the more the less well it fits.
 
-    The nearest sum of all is sure for sources of up to ``DP_WORDS`` words, and
-    found in practice wherever there are short documents; what is missed is below
-    the length of the longest document."""
+    The nearest sum of all is sure once everything is given back, which happens
+    unless a sum fits without it. What the even share leaves is below the shortest
+    length that has documents left, so the program's size follows the longest
+    document, not the number of documents."""
     have = dict(zip(lengths, counts, strict=True))
     total = sum(n * c for n, c in have.items())
     if budget >= total:
         return have
-    even = {n: c * budget // total for n, c in have.items()}
-    spare, best, best_short = SPARE, even, budget + 1
+    even, rest = {}, 0.0
+    for n in sorted(have, reverse=True):
+        rest += have[n] * n * budget / total
+        even[n] = min(have[n], int(rest // n)) if n else 0
+        rest -= even[n] * n
+    # Shares are rounded as floats; what is over goes back, shortest first.
+    over = sum(n * k for n, k in even.items()) - budget
+    for n in sorted(n for n in even if n):
+        while over > 0 and even[n]:
+            even[n] -= 1
+            over -= n
+    back, spare, best, best_short = GIVEN_BACK, SPARE, even, budget + 1
     while True:
-        take = _fitted(have, even, budget, spare)
+        take, all_back = _fitted(have, even, budget, back, spare)
         short = budget - sum(n * k for n, k in take.items())
         if short < best_short:
             best, best_short = take, short
-        if not best_short or spare >= max(even.values()) or spare > DP_WORDS:
+        # Longer programs are tried while a sum of the shortest lengths misses.
+        if not best_short or all_back or back > MOST_BACK:
             return best
-        spare *= 4
+        back, spare = back * 4, spare * 4
 
 
-def _fitted(have: dict[int, int], even: dict[int, int], budget: int, spare: int) -> dict[int, int]:
+def _fitted(have: dict[int, int], even: dict[int, int], budget: int, back: int, spare: int) -> tuple[dict[int, int], bool]:
+    """The even share with up to ``back`` words of it, ``spare`` documents of a
+    length, fitted anew; and whether all of it was."""
     take = dict(even)
-    rest = budget - sum(n * c for n, c in take.items())
-    for n in sorted(n for n in take if n > 0):
-        back = min(take[n], spare, max(0, (DP_WORDS - rest) // n))
-        take[n] -= back
-        rest += n * back
-    left = {n: c - take[n] for n, c in have.items() if n > 0}
-    # Longest first until the rest is small. What is then above the program's
-    # budget can only be lengths longer than it.
-    for bound in (DP_WORDS // 2, 0):
-        for n in sorted(left, reverse=True):
-            if rest <= DP_WORDS:
-                break
-            k = min(left[n], max(0, (rest - bound) // n))
-            take[n] += k
-            left[n] -= k
-            rest -= n * k
-    fits = _knapsack({n: min(c, rest // n) for n, c in left.items() if 0 < n <= rest and c}, min(rest, DP_WORDS))
+    for n in sorted(n for n in take if n):
+        k = min(take[n], spare, max(1, back // n))
+        if back <= 0:
+            break
+        take[n] -= k
+        back -= n * k
+    rest = budget - sum(n * k for n, k in take.items())
+    fits = _knapsack({n: c - take[n] for n, c in have.items() if 0 < n <= rest and c > take[n]}, rest)
+    all_back = not any(take[n] for n in take if n)
     for n, k in fits.items():
         take[n] += k
-    return take
+    return take, all_back
 
 
 def _knapsack(free: dict[int, int], budget: int) -> dict[int, int]:
-    """Counts whose sum is the greatest not above ``budget``: reachable sums as
-    bits of one number, a length's count in powers of two; stops once it fits."""
-    full = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
+    """Counts whose sum is the greatest not above ``budget``. Each length's count
+    is dealt into powers of two; of each sum, the step that first reached it is
+    kept: four bytes a word of the budget. Stops once the budget is reached."""
+    first = np.full(budget + 1, -1, np.int32)
+    first[0] = 0
+    steps = [(0, 0)]
     for n in sorted(free):
-        count, k = free[n], 1
-        while count > 0:
-            k = min(k, count)
-            steps.append((n, k, reach))
-            reach |= (reach << (n * k)) & full
-            count -= k
+        left, k = min(free[n], budget // n), 1
+        while left > 0 and first[budget] < 0:
+            k = min(k, left)
+            w = n * k
+            if w <= budget:
+                new = (first[: budget + 1 - w] >= 0) & (first[w:] < 0)
+                first[w:][new] = len(steps)
+            steps.append((n, k))
+            left -= k
             k *= 2
-        if reach >> budget & 1:
+        if first[budget] >= 0:
             break
-    best, chosen = reach.bit_length() - 1, {}
-    for n, k, before in reversed(steps):
-        if not before >> best & 1:
-            chosen[n] = chosen.get(n, 0) + k
-            best -= n * k
+    at, chosen = int(np.flatnonzero(first >= 0)[-1]), {}
+    while at:
+        n, k = steps[first[at]]
+        chosen[n] = chosen.get(n, 0) + k
+        at -= n * k
     return chosen
 
 
@@ -146,7 +158,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``copies`` is how often the mix takes the row, 0 to 3. Null texts have size 0
     and aren't taken; a null source is a source of its own, last in order; rows
     alike in id, source and size are interchangeable, but for columns to ``carry``,
-    which come along with their row. Same input, same result.
+    which come along with their row and break ties. Same input, same result. An
+    empty table gives no rows.
     """
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *carry))
     counted = cut(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))

@@ -3,14 +3,14 @@
 A fingerprint has eight bytes. Two that differ in at most two bits differ in at
 most two bytes, so they share six positional bytes at least: the guaranteed
 minimum of the count filter. A list for one (position, byte) would hold 1/256 of
-all fingerprints, hence the lists are intersected before they are read: of the
-four two-byte blocks of positions at least two agree, and the index has one list
-for each pair of blocks and its four bytes. Members of a list get their tally of
-shared positional bytes, pairs of six and more are verified bit by bit.
-
-Lists longer than ``hot`` aren't paired. Their fingerprints go to an exact way
-of linear size: all that share a value at one flipped bit or none lie within two
-bits of each other, so each such set (65 members at most) is linked as a star.
+all fingerprints, hence the index is kept by six positional bytes at once: each of
+the 28 choices of six positions has a list for the bytes there, and a pair with a
+tally of six or more shared positional bytes meets in one at least. Members of a
+list get their tally, pairs that reach the minimum are verified bit by bit.
+
+Members of a list differ in 16 bits only, so that none has more than 65,536. Every
+list is dealt into sub-lists of ``SUB`` members, and pairs of sub-lists are tallied
+apart, so that a long list is no task of its own.
 """
 
 from __future__ import annotations
@@ -19,18 +19,18 @@ import itertools
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_map, cut, raw_texts, row_key
-from .graph import connected_components
+from .frames import arrow_map, cut, numbered, raw_texts
+from .graph import forest
 
 SEED = 42
 WIDTH = 3
 BYTES = 8
 BITS = 2
-#: Members above which a list isn't paired.
-HOT = 64
+#: Members of a sub-list.
+SUB = 64
 
 
 def fingerprint(raw: bytes, width: int = WIDTH) -> int:
@@ -63,8 +63,8 @@ def _fingerprints():
     return step
 
 
-def _with_row(step):
-    return lambda batch: (*step(batch), batch.column(2))
+def _with_rest(step):
+    return lambda batch: (*step(batch), *batch.columns[2:])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,14 +72,13 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return arrow_map(docs, {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text)}, _fingerprints, "doc_id long, fp long")
 
 
-def _block(fp: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fp, 48 - 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))
-
-
 def _postings(distinct: DataFrame) -> DataFrame:
+    """``(fp, choice, bytes)``: a row for each choice of six positions."""
     fp = F.col("fp")
-    keys = [F.lit(i << 32).cast("long") + F.shiftleft(_block(fp, a), 16) + _block(fp, b) for i, (a, b) in enumerate(itertools.combinations(range(4), 2))]
-    return distinct.select("fp", F.explode(F.array(*keys)).alias("list"))
+    pairs = itertools.combinations(range(BYTES), BYTES - 6)
+    kept = [(1 << 64) - 1 - sum(255 << 8 * k for k in left_out) for left_out in pairs]
+    masked = [fp.bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in kept]
+    return distinct.select("fp", F.posexplode(F.array(*masked)).alias("choice", "bytes"))
 
 
 def _tally(delta: Column) -> Column:
@@ -87,58 +86,55 @@ def _tally(delta: Column) -> Column:
     return sum(same[1:], same[0])
 
 
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links ``(u, v)`` between the distinct fingerprints ``fp`` that join all
-    within ``BITS`` bits of each other, directly or through others as near."""
-    postings = _postings(distinct)
-    lengths = postings.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
-    read = cut(postings.join(lengths, "list"))
-
-    def partners(members: Column):
-        def of(x: Column) -> Column:
-            near = F.filter(members, lambda y: (y > x) & (_tally(x.bitwiseXOR(y)) >= BYTES - BITS) & (F.bit_count(x.bitwiseXOR(y)) <= BITS))
-            return F.transform(near, lambda y: F.struct(x.alias("u"), y.alias("v")))
+def links(distinct: DataFrame, sub: int = SUB) -> DataFrame:
+    """All pairs ``(u, v)``, u < v, of the distinct fingerprints ``fp`` that are
+    within ``BITS`` bits of each other; a pair may come more than once."""
+    of = Window.partitionBy("choice", "bytes").orderBy("fp")
+    listed = _postings(distinct).select("*", F.row_number().over(of).alias("turn"), F.count("*").over(of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / sub).cast("int")
+    dealt = listed.select("fp", "choice", "bytes", F.pmod(F.col("turn"), parts).alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    met = dealt.groupBy("choice", "bytes", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(
+        F.collect_list(F.when(F.col("own") <= F.col("other"), F.col("fp"))).alias("left"), F.collect_list(F.when(F.col("own") >= F.col("other"), F.col("fp"))).alias("right")
+    )
 
-        return of
+    def partners(x: Column) -> Column:
+        near = F.filter("right", lambda y: ((F.col("a") < F.col("b")) | (x < y)) & (_tally(x.bitwiseXOR(y)) >= BYTES - BITS) & (F.bit_count(x.bitwiseXOR(y)) <= BITS))
+        return F.transform(near, lambda y: F.struct(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")))
 
-    lists = read.where(F.col("n") <= hot).groupBy("list").agg(F.collect_list("fp").alias("members"))
-    paired = lists.select(F.explode(F.flatten(F.transform("members", partners(F.col("members"))))).alias("e")).select("e.u", "e.v")
-
-    fp = F.col("fp")
-    around = F.array(fp, *[fp.bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")) for k in range(64)])
-    sets = read.where(F.col("n") > hot).select("fp").distinct().select("fp", F.explode(around).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
-    stars = sets.select(F.array_min("members").alias("u"), F.explode("members").alias("v")).where("u <> v")
-    return paired.unionByName(stars)
+    return met.select(F.explode(F.flatten(F.transform("left", partners))).alias("e")).select("e.u", "e.v")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sub: int = SUB) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
 
     Null and empty texts have fingerprint zero and are linked like any other. A
     null doc_id never names a component; one without any id gets null. Repeated
-    rows each return. Other columns of ``docs``, whatever their names, are unread.
+    rows each return. An empty table gives no rows. Other columns of ``docs``,
+    whatever their names, are unread.
     """
     marked = cut(fingerprints(docs, doc_id, text))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), hot))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = joined.join(least, "root").select("fp", "component_id")
-    # Written out, so that both sides of the last join are plain exchanges and a
-    # fingerprint that very many documents share is split over tasks.
-    named = cut(distinct.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    trees = forest(links(distinct.select("fp"), sub)).withColumnRenamed("node", "fp")
+    placed = distinct.join(trees, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # Written out, so that both sides of the joins below are plain exchanges: a
+    # large component and a fingerprint of very many documents split over tasks.
+    least = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = cut(placed.join(least, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: the least by doc_id (null ids last),
-    fingerprint and hash of all columns. Ids may be null or repeat."""
-    keyed = docs.withColumn("_row", row_key(docs.columns))
-    columns = {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text), "row": F.col("_row")}
-    marked = cut(arrow_map(keyed, columns, lambda: _with_row(_fingerprints()), "doc_id long, fp long, row string"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")
-    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"))
-    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    stay = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    # Rows alike in every column are one.
-    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    """One row of each near-duplicate group, with its columns as they are: the
+    least by doc_id (null ids last), fingerprint and hash of all columns; of rows
+    alike in all that, one. Ids may be null or repeat: a group is told by its
+    texts. Null and empty texts are one group. An empty table gives no rows. Texts
+    move once, to the list of the rows that stay."""
+    keyed, key = numbered(docs)
+    columns = {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text)} | {f"k{n}": F.col(k) for n, k in enumerate(key)}
+    marked = cut(arrow_map(keyed, columns, lambda: _with_rest(_fingerprints()), "doc_id long, fp long, k0 long, k1 string, k2 long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "k0", "k1", "k2")
+    distinct = cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    trees = forest(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    stay = distinct.join(trees, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    chosen = cut(stay.select(*[F.col(f"least.k{n}").alias(k) for n, k in enumerate(key)]))
+    return keyed.join(chosen.hint("shuffle_hash"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
