@@ -1,11 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes its text blocks in order, each with the block elements around it.
-A classifier's log-odds for content are the capacities of a block's edge to one
-of two terminals; blocks next to each other and blocks that follow each other in
-one container are joined by smoothness edges. The maximum flow separates content
-from boilerplate. Blocks whose own capacity is above the sum of their smoothness
-edges keep their side in every minimum cut and are settled before the flow runs.
+A page becomes a graph of its text blocks and of the elements that hold them. A
+classifier's log-odds for content are the capacities of a node's edge to one of
+two terminals: a block's are about its text alone (size, links, sentence signs),
+an element's are about its place (tags, roles, class names, those around it) and
+count once for each block that it holds. Smoothness edges join each block to its
+element, each element to the one around it, and blocks that follow each other. The
+maximum flow, run on every page, separates content from boilerplate: a short line
+goes with the article that holds it, a long advertisement with its box, and where
+no place says anything the blocks of one element settle it among themselves.
 """
 
 from __future__ import annotations
@@ -53,16 +56,19 @@ _LAYOUT = re.compile(r"\b(?:with|has|have|no|without|is|show|hide|enable|enabled
 _GOOD = re.compile(r"\b(?:article|articlebody|content|main|post|entry|story|body|text|prose)\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[_\-\d]+")
 
-STRONG, ARTICLE = 8.0, 4.0
-NEXT, SAME_PLACE, SIBLING = 0.15, 0.45, 0.3
+#: Log-odds of content for a block's place; a text's own lie between -3.8 and 2.5.
+HARD, SOFT, ARTICLE, GOOD = -4.0, -4.0, 4.0, 2.5
+#: Smoothness: of a block and its element (more, the surer the place), of an element
+#: and the one around it, of neighbours in one element and in two.
+HELD, HELD_BY_PLACE, AROUND, NEXT, NEXT_ELSEWHERE = 1.5, 0.75, 0.5, 0.4, 0.2
 
 
 class _Element:
-    __slots__ = ("good", "hard", "last", "soft", "tag")
+    __slots__ = ("good", "hard", "node", "parent", "soft", "tag")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None):
-        self.tag = tag
-        self.last = -1
+        self.tag, self.parent = tag, parent
+        self.node = -1
         self.good = parent.good if parent else 0
         self.hard = parent.hard if parent else False
         self.soft = parent.soft if parent else False
@@ -97,11 +103,13 @@ class _Element:
                 self.good = max(self.good, 1)
 
 
-def blocks(page: str) -> list[tuple[str, float, int]]:
-    """``(text, log-odds of content, number of the block before it in the same
-    container or -1)`` for each block with text, in page order."""
+def blocks(page: str) -> tuple[list[tuple[str, float, int]], list[tuple[float, int]]]:
+    """``(text, log-odds of content, number of its element)`` for each block with
+    text, in page order, and ``(log-odds of content, number of the next element
+    around it that holds blocks or -1)`` for each element that holds blocks."""
     stack = [_Element("", "", None)]
     out: list[tuple[str, float, int]] = []
+    holders: list[_Element] = []
     pieces: list[str] = []
     linked, links = 0, 0
 
@@ -112,8 +120,10 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if text:
             top = stack[-1]
             holder = stack[-2] if len(stack) > 1 and top.tag in ("p", "li", "tr", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote") else top
-            out.append((text, log_odds(text, top, min(1.0, linked / len(text))), holder.last))
-            holder.last = len(out) - 1
+            if holder.node < 0:
+                holder.node = len(holders)
+                holders.append(holder)
+            out.append((text, text_odds(text, top.tag, min(1.0, linked / len(text))), holder.node))
         linked = 0
 
     def leave(depth: int) -> None:
@@ -167,60 +177,60 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         run = page[low:]
         pieces.append(unescape(run) if "&" in run else run)
     flush()
-    return out
+    return out, [(place_odds(h), _around(h)) for h in holders]
 
 
-def log_odds(text: str, at: _Element, linked: float) -> float:
-    """Linear classifier over place, size, links and sentence signs."""
+def _around(at: _Element) -> int:
+    while at.parent is not None:
+        at = at.parent
+        if at.node >= 0:
+            return at.node
+    return -1
+
+
+def place_odds(at: _Element) -> float:
+    """Linear classifier over the places that an element is in."""
     if at.hard:
-        return -STRONG
-    score = -4.0 if at.soft else 0.0
-    score += ARTICLE * (at.good == 2) + 2.5 * (at.good == 1)
-    score += min(len(text), 240) / 80 - 1.5 - 3.0 * linked
-    score += {"p": 1.0, "h1": 1.0, "h2": 0.5, "h3": 0.5, "blockquote": 1.0, "pre": 1.0, "li": -0.5}.get(at.tag, 0.0)
-    return score + 0.5 * any(c in text for c in ".!?;:")
+        return HARD
+    return ARTICLE * (at.good == 2) + GOOD * (at.good == 1) + SOFT * at.soft
+
+
+def text_odds(text: str, tag: str, linked: float) -> float:
+    """Linear classifier over size, links and sentence signs."""
+    score = min(len(text), 240) / 80 - 1.5 - 2.0 * linked + 0.5 * any(c in text for c in ".!?;:")
+    return score + {"p": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "blockquote": 0.5, "pre": 0.5, "li": -0.3}.get(tag, 0.0)
+
+
+def graph(found: list[tuple[str, float, int]], holders: list[tuple[float, int]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal capacities and smoothness edges; blocks first, then elements."""
+    n = len(found)
+    held = [0] * len(holders)
+    edges = []
+    for i, (_, _, at) in enumerate(found):
+        held[at] += 1
+        edges.append((i, n + at, HELD + HELD_BY_PLACE * abs(holders[at][0])))
+        if i:
+            edges.append((i - 1, i, NEXT if found[i - 1][2] == at else NEXT_ELSEWHERE))
+    edges += [(n + k, n + around, AROUND) for k, (_, around) in enumerate(holders) if around >= 0]
+    return [own for _, own, _ in found] + [place * k for (place, _), k in zip(holders, held, strict=True)], edges
 
 
 def min_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Sides of a minimum cut: true for the source's. A positive terminal is the
     capacity from the source, a negative one that to the sink; edges go both ways.
     Of several minimum cuts the one with most nodes on the source's side."""
-    unit = 1000
-    own = [round(t * unit) for t in terminal]
-    near: list[dict[int, int]] = [{} for _ in own]
+    unit, n = 1000, len(terminal)
+    flow = _Flow(n + 2)
+    for i, t in enumerate(terminal):
+        if t > 0:
+            flow.add(n, i, round(t * unit), 0)
+        elif t < 0:
+            flow.add(i, n + 1, round(-t * unit), 0)
     for a, b, w in edges:
-        near[a][b] = near[a].get(b, 0) + round(w * unit)
-        near[b][a] = near[a][b]
-    side: list[bool | None] = [None] * len(own)
-    free = [sum(e.values()) for e in near]
-    queue = deque(range(len(own)))
-    while queue:
-        i = queue.popleft()
-        if side[i] is None and abs(own[i]) > free[i]:
-            side[i] = own[i] > 0
-            for j, w in near[i].items():
-                if side[j] is None:
-                    own[j] += w if side[i] else -w
-                    free[j] -= w
-                    queue.append(j)
-    core = [i for i, s in enumerate(side) if s is None]
-    if core:
-        number = {i: k for k, i in enumerate(core)}
-        flow = _Flow(len(core) + 2)
-        source, sink = len(core), len(core) + 1
-        for i in core:
-            if own[i] > 0:
-                flow.add(source, number[i], own[i], 0)
-            elif own[i] < 0:
-                flow.add(number[i], sink, -own[i], 0)
-            for j, w in near[i].items():
-                if i < j and j in number:
-                    flow.add(number[i], number[j], w, w)
-        flow.run(source, sink)
-        lost = flow.reaching(sink)
-        for i in core:
-            side[i] = number[i] not in lost
-    return [bool(s) for s in side]
+        flow.add(a, b, round(w * unit), round(w * unit))
+    flow.run(n, n + 1)
+    lost = flow.reaching(n + 1)
+    return [i not in lost for i in range(n)]
 
 
 class _Flow:
@@ -289,15 +299,9 @@ class _Flow:
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
-    edges = []
-    for i, (_, _, before) in enumerate(found):
-        if i:
-            edges.append((i - 1, i, SAME_PLACE if before == i - 1 else NEXT))
-        if 0 <= before < i - 1:
-            edges.append((before, i, SIBLING))
-    kept = min_cut([score for _, score, _ in found], edges)
-    return "\n".join(text for (text, _, _), keep in zip(found, kept, strict=True) if keep)
+    found, holders = blocks(page)
+    kept = min_cut(*graph(found, holders))
+    return "\n".join(text for (text, _, _), keep in zip(found, kept[: len(found)], strict=True) if keep)
 
 
 def _extract():
