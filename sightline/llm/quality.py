@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and byte n-grams of a text are hashed to ``BUCKETS`` learned vectors; their
-average goes through a softmax layer (as in fastText's supervised mode). Training
-is stochastic gradient descent in numpy on the driver over a sample of labelled
-documents. A score needs only each bucket's share of the logit, so documents are
-scored with one table look-up a feature.
+Words, pairs of neighbouring words and character n-grams of the words of a text are
+hashed to ``BUCKETS`` learned vectors; their average goes through a softmax layer
+(as in fastText's supervised mode). Training is stochastic gradient descent in
+numpy on the driver over a sample of labelled documents. A score needs only each
+bucket's share of the logit, so documents are scored with one table look-up a
+feature.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from .frames import arrow_map, held_out, raw_texts
 BUCKETS = 1 << 15
 GRAMS = (3, 5)
 DIMENSIONS = 16
-EPOCHS = 8
+EPOCHS = 5
 RATE = 0.3
 SEED = 11
-#: Labelled documents that training takes at most; which ones, a hash decides.
-SAMPLE = 4000
+#: Labelled documents that training takes at most; which ones, a hash decides. Six
+#: bytes for each of a document's distinct buckets reach the driver.
+SAMPLE = 3000
 THRESHOLD = 0.3
 
 
@@ -46,13 +48,19 @@ def _sparse():
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, text, y)`` of at most ``sample`` labels outside the held-out
-    fifth, least hash first. The sampled labels are few by their limit and are
-    broadcast; the texts of other documents aren't moved."""
+    """``(doc_id, text, y)``: at most ``sample`` labelled documents outside the
+    held-out fifth, least hash first.
+
+    The sampled labels are few by their limit and are broadcast; the texts of other
+    documents aren't moved. Labels other than 0 and 1 and null ids are left out; an
+    id labelled both ways counts as 0. Of rows that repeat an id, one counts: that
+    of the least hash, chosen before the shuffle. A null text is as an empty one.
+    """
     marks = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("_id")))
-    few = marks.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id", "y").limit(sample)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    few = marks.groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(sample)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = rows.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y")
 
 
 class Model:
@@ -102,12 +110,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from at most ``sample`` labelled documents; only their bucket shares
-    (six bytes for each distinct bucket) reach the driver. Rows of ``docs`` that
-    repeat an id count once each, up to ``sample`` rows in all."""
-    rows = labelled(docs, labels, label, sample, doc_id, text).limit(sample)
-    sparse = arrow_map(rows, {"doc_id": F.col("doc_id"), "text": F.col("text"), "y": F.col("y")}, _sparse, "doc_id long, at binary, share binary, y int")
-    got = sorted(((r["doc_id"], bytes(r["at"]), bytes(r["share"]), r["y"]) for r in sparse.toLocalIterator()), key=lambda r: (r[0], r[3], r[1]))
-    return train([(np.frombuffer(a, np.uint16).astype(np.int32), np.frombuffer(s, np.float32), y) for _, a, s, y in got])
+    reach the driver. Without usable labels every score is 0.5; with labels of one
+    kind alone it is their mean."""
+    rows = labelled(docs, labels, label, sample, doc_id, text)
+    sparse = arrow_map(rows, {"doc_id": F.col("doc_id"), "text": F.col("text"), "y": F.col("y")}, _sparse, "doc_id long, at binary, share binary, y int").toArrow()
+    # Views of the collected table, which isn't copied.
+    got = [(np.frombuffer(a.as_buffer(), np.uint16), np.frombuffer(s.as_buffer(), np.float32), y.as_py()) for a, s, y in zip(sparse["at"], sparse["share"], sparse["y"], strict=True)]
+    return train([got[i] for i in np.argsort(sparse["doc_id"].to_numpy(), kind="stable")])
 
 
 def _scores(model: Model):
@@ -121,7 +130,8 @@ def _scores(model: Model):
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)``, a row for each row; null text: as an empty one."""
+    """``(doc_id, score)``, a row for each row, repeated rows alike; a null text is as
+    an empty one, whose score is that of the bias. An empty table gives no rows."""
     return arrow_map(docs, {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text)}, _scores(model), "doc_id long, score double")
 
 
