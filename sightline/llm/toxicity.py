@@ -2,22 +2,23 @@
 
 Features are rates over the whole text: words of a small fixed lexicon, words of a
 lexicon learned from the labelled sample, both also after undoing obfuscation,
-second-person words and those near an insult, capitals, punctuation, repetition.
+second-person words and those near an insult, capitals, punctuation, obfuscation.
 Trees grow on binned features with a logistic loss; isotonic regression on
-out-of-fold predictions turns their sums into probabilities.
+out-of-fold predictions turns their sums into probabilities. Out of fold means
+without the fold in the lexicon too: each fold has a lexicon and trees of its own
+that have seen nothing of it.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import arrow_map, raw_texts
+from .frames import arrow_map, cut, raw_texts
 from .quality import labelled
 
 #: Labelled documents that training takes at most; which ones, a hash decides.
@@ -77,7 +78,22 @@ def _places(own: list[str], hits: set[str]) -> list[int]:
     return [i for i, w in enumerate(own) if w in hits] if hits else []
 
 
+def near_count(places: list[int], others: list[int], within: int = 5) -> int:
+    """How many of ``places`` have one of the ``others`` within so many words; both
+    ascend, so it is one search for each place."""
+    if not places or not others:
+        return 0
+    at, to = np.array(places), np.array([-(10**12), *others, 10**12])
+    after = np.searchsorted(to, at)
+    return int((np.minimum(at - to[after - 1], to[after] - at) <= within).sum())
+
+
 def features(raw: bytes, learned: Lexicon) -> list[float]:
+    return featured(raw, [learned])[0]
+
+
+def featured(raw: bytes, lexicons: list[Lexicon]) -> list[list[float]]:
+    """The features under each lexicon; the text is read once."""
     own, masked = words(raw), hidden(raw)
     n = max(len(own), 1)
     a = np.frombuffer(raw, np.uint8)
@@ -85,15 +101,18 @@ def features(raw: bytes, learned: Lexicon) -> list[float]:
     upper = int(((a >= 65) & (a <= 90)).sum())
     lower = int(((a >= 97) & (a <= 122)).sum())
     distinct = set(own)
-    fixed, taught, begun, you = (_places(own, hits) for hits in (distinct & INSULTS, distinct & learned.words, learned.begun(distinct), distinct & SECOND_PERSON))
-    masked_hits = sum(w in INSULTS or w in learned.words for w in masked)
-    insults = np.array(sorted({*fixed, *taught, *begun}))
-    near = sum(bool(len(insults)) and int(np.abs(insults - i).min()) <= 5 for i in you)
-    return [
-        len(fixed), 100 * len(fixed) / n, len(taught), 100 * len(taught) / n, len(begun), 100 * len(begun) / n, len({own[i] for i in (*fixed, *taught, *begun)}),
-        masked_hits, 100 * masked_hits / n, 100 * len(masked) / n, 100 * len(you) / n, near,
-        upper / max(upper + lower, 1), 100 * raw.count(b"!") / size, 100 * (raw.count(b"?") + raw.count(b"*") + raw.count(b"#")) / size, np.log1p(n),
-    ]
+    fixed, you = _places(own, distinct & INSULTS), _places(own, distinct & SECOND_PERSON)
+    signs = [100 * raw.count(b"!") / size, 100 * (raw.count(b"?") + raw.count(b"*") + raw.count(b"#")) / size, np.log1p(n)]
+    out = []
+    for learned in lexicons:
+        taught, begun = _places(own, distinct & learned.words), _places(own, learned.begun(distinct))
+        masked_hits = sum(w in INSULTS or w in learned.words for w in masked)
+        insults = sorted({*fixed, *taught, *begun})
+        out.append([
+            len(fixed), 100 * len(fixed) / n, len(taught), 100 * len(taught) / n, len(begun), 100 * len(begun) / n, len({own[i] for i in insults}),
+            masked_hits, 100 * masked_hits / n, 100 * len(masked) / n, 100 * len(you) / n, near_count(you, insults), upper / max(upper + lower, 1), *signs,
+        ])
+    return out
 
 
 def entries(raw: bytes) -> set[str]:
@@ -104,24 +123,38 @@ def entries(raw: bytes) -> set[str]:
 
 def _word_sets():
     def step(batch):
-        return batch.column(1), [sorted(entries(raw)) for raw in raw_texts(batch.column(0))]
+        return batch.column(1), batch.column(2), [sorted(entries(raw)) for raw in raw_texts(batch.column(0))]
 
     return step
 
 
-def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """Words and beginnings of words that occur far oftener in toxic documents of
-    the sample: in at least ``SUPPORT`` of them, at most ``LEXICON`` entries, best
-    first. Counts are partial aggregates; only the chosen reach the driver."""
-    sets = arrow_map(sample, {"text": F.col("text"), "y": F.col("y")}, _word_sets, "y int, words array<string>")
-    totals = sample.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
-    toxic, clean = (totals["toxic"] or 0) + 1, totals["n"] - (totals["toxic"] or 0) + 1
-    by_word = sets.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    lift = F.log((F.col("bad") + 0.5) / toxic) - F.log((F.col("good") + 0.5) / clean)
-    # Two standard errors of the log ratio below the lift.
-    sure = lift - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    best = by_word.where(F.col("bad") >= SUPPORT).withColumn("sure", sure).where(F.col("sure") > LIFT).orderBy(F.desc("sure"), "word").limit(LEXICON)
-    return Lexicon([r["word"] for r in best.collect()])
+def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
+    """A lexicon of the whole ``sample(text, y, fold)``, and one for each fold of all
+    but that fold.
+
+    Words and beginnings of words that occur far oftener in toxic documents: in at
+    least ``SUPPORT`` of them, at most ``LEXICON`` entries, best first. Counts by
+    fold are partial aggregates; only the chosen reach the driver."""
+    sets = arrow_map(sample, {"text": F.col("text"), "y": F.col("y"), "fold": F.col("fold")}, _word_sets, "y int, fold int, words array<string>")
+
+    def counts(kind: int) -> list:
+        return [F.count_if((F.col("y") == kind) & (F.col("fold") == k)) for k in range(FOLDS)]
+
+    both = [c.alias(f"{name}{k}") for name, kind in (("bad", 1), ("good", 0)) for k, c in enumerate(counts(kind))]
+    totals = sample.agg(*both).first()
+    by_word = cut(sets.select("y", "fold", F.explode("words").alias("word")).groupBy("word").agg(*both).where(sum((F.col(f"bad{k}") for k in range(1, FOLDS)), F.col("bad0")) >= SUPPORT))
+
+    def chosen(folds: list[int]) -> Lexicon:
+        bad, good = (sum((F.col(f"{name}{k}") for k in folds[1:]), F.col(f"{name}{folds[0]}")) for name in ("bad", "good"))
+        toxic, clean = (sum(totals[f"{name}{k}"] or 0 for k in folds) + 1 for name in ("bad", "good"))
+        lift = F.log((bad + 0.5) / toxic) - F.log((good + 0.5) / clean)
+        # Two standard errors of the log ratio below the lift.
+        sure = lift - 2 * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
+        best = by_word.where(bad >= SUPPORT).select("word", sure.alias("sure")).where(F.col("sure") > LIFT).orderBy(F.desc("sure"), "word").limit(LEXICON)
+        return Lexicon([r["word"] for r in best.collect()])
+
+    everyone = list(range(FOLDS))
+    return [chosen(everyone), *(chosen([k for k in everyone if k != out]) for out in everyone)]
 
 
 class Trees:
@@ -210,20 +243,21 @@ class Model:
         return 0.999 * level + 0.001 / (1 + np.exp(-raw))
 
 
-def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicon: Lexicon) -> Model:
-    trees = boost(x, y)
+def train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, lexicons: list[Lexicon]) -> Model:
+    """``x``: for each row its features under each lexicon, the whole one first."""
+    trees = boost(x[:, 0], y)
     if len(y) < 10 * FOLDS or y.min() == y.max():
-        return Model(lexicon, trees, (np.array([]), np.array([])))
+        return Model(lexicons[0], trees, (np.array([]), np.array([])))
     out = np.zeros(len(y))
     for k in range(FOLDS):
-        out[fold == k] = boost(x[fold != k], y[fold != k]).raw_score(x[fold == k])
-    return Model(lexicon, trees, isotonic(out, y))
+        out[fold == k] = boost(x[fold != k, 1 + k], y[fold != k]).raw_score(x[fold == k, 1 + k])
+    return Model(lexicons[0], trees, isotonic(out, y))
 
 
-def _rows(lexicon: Lexicon):
+def _rows(lexicons: list[Lexicon]):
     def make():
         def step(batch):
-            return batch.column(0), [features(raw, lexicon) for raw in raw_texts(batch.column(1))], batch.column(2)
+            return batch.column(0), [list(itertools.chain.from_iterable(featured(raw, lexicons))) for raw in raw_texts(batch.column(1))], batch.column(2), batch.column(3)
 
         return step
 
@@ -231,16 +265,15 @@ def _rows(lexicon: Lexicon):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Learn from at most ``sample`` labelled documents outside the held-out fifth;
-    their feature rows (``FEATURES`` numbers each) reach the driver. Without
-    labels every score is 0.5."""
-    rows = labelled(docs, labels, label, sample, doc_id, text).limit(sample)
-    lexicon = learn_lexicon(rows)
-    got = arrow_map(rows, {"doc_id": F.col("doc_id"), "text": F.col("text"), "y": F.col("y")}, _rows(lexicon), "doc_id long, x array<double>, y int").toPandas()
-    got = pd.DataFrame({"doc_id": got["doc_id"], "y": got["y"], "x": got["x"].map(tuple)}).sort_values(["doc_id", "y", "x"])
-    x = np.array(got["x"].tolist(), float).reshape(-1, FEATURES)
-    y = got["y"].to_numpy(float)
-    return train(x, y, np.random.default_rng(5).integers(0, FOLDS, len(y)), lexicon)
+    """Learn from at most ``sample`` labelled documents outside the held-out fifth
+    (see ``quality.labelled``), which are written out once; their feature rows
+    (``FEATURES`` numbers for each lexicon) reach the driver. Without usable labels
+    every score is 0.5."""
+    rows = cut(labelled(docs, labels, label, sample, doc_id, text).withColumn("fold", F.pmod(F.xxhash64(F.lit(FOLDS), "doc_id"), F.lit(FOLDS)).cast("int")))
+    lexicons = learn_lexicons(rows)
+    got = arrow_map(rows, {c: F.col(c) for c in rows.columns}, _rows(lexicons), "doc_id long, x array<double>, y int, fold int").toArrow().sort_by("doc_id").combine_chunks()
+    x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, 1 + FOLDS, FEATURES) if len(got) else np.zeros((0, 1 + FOLDS, FEATURES))
+    return train(x, got["y"].to_numpy().astype(float), got["fold"].to_numpy(), lexicons)
 
 
 def _scores(model: Model):
@@ -255,5 +288,6 @@ def _scores(model: Model):
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)``, a row for each row; null text: as an empty one."""
+    """``(doc_id, score)``, a row for each row, repeated rows alike; a null text is as
+    an empty one, whose rates are all 0. An empty table gives no rows."""
     return arrow_map(docs, {"doc_id": F.col(doc_id).cast("long"), "text": F.col(text)}, _scores(model), "doc_id long, score double")
