@@ -544,12 +544,30 @@ def test_round_trip_and_decode(spark, coder, reference):
         t = HARD[r["doc_id"]] or ""
         ids = reference.encode_ordinary(t)
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        at = [k for k, c in enumerate(t) for _ in c.encode()]
+        spans, low = [], 0
+        for size in (len(reference.decode_single_token_bytes(i)) for i in ids):
+            spans += [at[low], at[low + size - 1] + 1]
+            low += size
+        assert r["offsets_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in spans)).hexdigest()
     back = bpe.decode(bpe.encode(docs, path, pattern), path, pattern).collect()
     assert all(bytes(r["decoded"]).decode() == (HARD[r["doc_id"]] or "") for r in back)
     assert bpe.round_trip(docs.limit(0), path, pattern).collect() == []
     assert bpe.offsets(docs, path, pattern).count() == len(HARD)
 
 
+def test_decoding_goes_back_through_the_byte_table(coder):
+    table = bpe.byte_characters()
+    single = {b: coder.ranks[bytes([b])] for b in range(256)}
+    assert all(chr(coder.characters[coder.starts[single[b]]]) == table[b] and coder.decode([single[b]]) == bytes([b]) for b in range(256))
+    whole = "漢😀é".encode()
+    assert coder.decode([single[b] for b in whole]) == whole
+    starts, ends = coder.spans([single[b] for b in whole], whole)
+    assert starts.tolist() == [0] * 3 + [1] * 4 + [2] * 2 and ends.tolist() == [1] * 3 + [2] * 4 + [3] * 2
+    with pytest.raises(KeyError):
+        coder.decode([10**6])
+
+
 def test_cache_generations(monkeypatch, coder, reference):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
     rng = random.Random(11)
