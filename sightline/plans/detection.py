@@ -206,10 +206,11 @@ def motion_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(d, 6, "user_id", F.desc("area"), "det_id")
 
 
-@query(f"{_D}, r AS (SELECT camera_id, det_id, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY confidence DESC, w * h DESC, y, x, det_id) AS INTEGER) AS turn FROM detections) SELECT * FROM r WHERE turn <= 20")
+@query(f"{_D}, r AS (SELECT camera_id, det_id, CAST(row_number() OVER (PARTITION BY camera_id ORDER BY confidence DESC, w * h DESC, y, x, det_id) AS INTEGER) AS turn FROM detections) SELECT * FROM r")
 def target_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.detections(spark, sf_dir)
-    return _top(d, 20, "camera_id", F.desc("confidence"), F.desc(F.col("w") * F.col("h")), "y", "x", "det_id").select("camera_id", "det_id", "turn")
+    """Every target of a camera with its turn."""
+    order = Window.partitionBy("camera_id").orderBy(F.desc("confidence"), F.desc(F.col("w") * F.col("h")), "y", "x", "det_id")
+    return V.detections(spark, sf_dir).select("camera_id", "det_id", F.row_number().over(order).alias("turn"))
 
 
 @query(f"{_D} SELECT det_id, cls, round(confidence, 3) AS confidence FROM detections ORDER BY confidence DESC, det_id LIMIT 6")

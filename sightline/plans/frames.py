@@ -66,11 +66,11 @@ def grid_phase_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("camera_id").agg(F.max_by("phase", F.struct(F.col("m"), -F.col("phase"))).cast("int").alias("phase"), F.round(top / mid, 5).alias("excess"), F.when(top / mid >= 1.5, "grid").otherwise("none").alias("verdict"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), mid / top)), 5).alias("weight"))
 
 
-@query(f"{_P} SELECT frame_id, p, CAST(trunc(luma * (1 - 0.6::DOUBLE * (1 - CASE px % 4 WHEN 3 THEN 0.4::DOUBLE ELSE 1 END)) * (1 - 0.6::DOUBLE * (1 - CASE py % 4 WHEN 3 THEN 0.5::DOUBLE ELSE 1 END))) AS INTEGER) AS luma FROM pixels WHERE frame_id < 50")
+@query(f"{_P} SELECT frame_id, p, CAST(trunc(luma * (1 - 0.6::DOUBLE * (1 - CASE px % 4 WHEN 3 THEN 0.4::DOUBLE ELSE 1 END)) * (1 - 0.6::DOUBLE * (1 - CASE py % 4 WHEN 3 THEN 0.5::DOUBLE ELSE 1 END))) AS INTEGER) AS luma FROM pixels")
 def grid_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Separable weights of grid lines taken off by a strength, on a short clip."""
+    """Separable weights of grid lines taken off by a strength."""
     wx, wy = (F.when(F.col(c) % 4 == 3, w).otherwise(1.0) for c, w in (("px", 0.4), ("py", 0.5)))
-    return V.pixels(spark, sf_dir).where("frame_id < 50").select("frame_id", "p", (F.col("luma") * (1 - 0.6 * (1 - wx)) * (1 - 0.6 * (1 - wy))).cast("int").alias("luma"))
+    return V.pixels(spark, sf_dir).select("frame_id", "p", (F.col("luma") * (1 - 0.6 * (1 - wx)) * (1 - 0.6 * (1 - wy))).cast("int").alias("luma"))
 
 
 def _pull(value: str, line: str, part: list[str], on: Column, weight: float, strength: float) -> Column:
@@ -161,9 +161,9 @@ def luma_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands(_background(spark, sf_dir)).select("camera_id", "p", "band")
 
 
-@query(f"""{_P} SELECT frame_id, p, least(255, CASE WHEN luma <= 200 THEN luma ELSE CAST(trunc(200 + 55 * ((luma - 200) / 55.0::DOUBLE)) AS INTEGER) END + CAST(trunc(12.0::DOUBLE * greatest(110 - luma, 0) / 110) AS INTEGER)) AS luma FROM pixels WHERE frame_id < 100""")
+@query(f"""{_P} SELECT frame_id, p, least(255, CASE WHEN luma <= 200 THEN luma ELSE CAST(trunc(200 + 55 * ((luma - 200) / 55.0::DOUBLE)) AS INTEGER) END + CAST(trunc(12.0::DOUBLE * greatest(110 - luma, 0) / 110) AS INTEGER)) AS luma FROM pixels""")
 def tone_lut_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.pixels(spark, sf_dir).where("frame_id < 100").select("frame_id", "p", tone.applied(F.col("luma"), tone.tone(lift=12.0)).alias("luma"))
+    return V.pixels(spark, sf_dir).select("frame_id", "p", tone.applied(F.col("luma"), tone.tone(lift=12.0)).alias("luma"))
 
 
 @query(f"{_P}, d AS (SELECT frame_id, abs(luma - lag(luma) OVER (PARTITION BY frame_id, py ORDER BY px)) AS d FROM pixels) SELECT frame_id, round(quantile_cont(d, 0.99), 4) AS reference, round(quantile_cont(d, 0.5), 4) AS middle FROM d GROUP BY frame_id")
@@ -173,17 +173,17 @@ def edge_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.pixels(spark, sf_dir).withColumn("d", d).groupBy("frame_id").agg(F.round(F.percentile("d", 0.99), 4).alias("reference"), F.round(F.percentile("d", 0.5), 4).alias("middle"))
 
 
-@query(f"{_P} SELECT frame_id, p, round(CASE WHEN d >= 0.3 THEN 1.0::DOUBLE ELSE 1 + tanh(2.5::DOUBLE * (d - 0.3::DOUBLE)) END, 5) AS ink FROM (SELECT frame_id, p, luma / 255.0::DOUBLE AS d FROM pixels WHERE frame_id < 100)")
+@query(f"{_P} SELECT frame_id, p, round(CASE WHEN d >= 0.3 THEN 1.0::DOUBLE ELSE 1 + tanh(2.5::DOUBLE * (d - 0.3::DOUBLE)) END, 5) AS ink FROM (SELECT frame_id, p, luma / 255.0::DOUBLE AS d FROM pixels)")
 def xdog_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Soft threshold of the extended difference of Gaussians."""
     d = F.col("luma") / 255.0
-    return V.pixels(spark, sf_dir).where("frame_id < 100").select("frame_id", "p", F.round(F.when(d >= 0.3, 1.0).otherwise(1 + F.tanh((d - 0.3) * 2.5)), 5).alias("ink"))
+    return V.pixels(spark, sf_dir).select("frame_id", "p", F.round(F.when(d >= 0.3, 1.0).otherwise(1 + F.tanh((d - 0.3) * 2.5)), 5).alias("ink"))
 
 
-@query(f"{_P}, f AS (SELECT frame_id, p, luma, avg(luma) OVER (PARTITION BY frame_id) AS m, avg(luma) OVER (PARTITION BY frame_id, px // 4, py // 4) AS field FROM pixels WHERE frame_id < 100) SELECT frame_id, p, CAST(least(255, greatest(0, trunc(luma * pow(m / greatest(field, 1), 0.7::DOUBLE)))) AS INTEGER) AS luma FROM f")
+@query(f"{_P}, f AS (SELECT frame_id, p, luma, avg(luma) OVER (PARTITION BY frame_id) AS m, avg(luma) OVER (PARTITION BY frame_id, px // 4, py // 4) AS field FROM pixels) SELECT frame_id, p, CAST(least(255, greatest(0, trunc(luma * pow(m / greatest(field, 1), 0.7::DOUBLE)))) AS INTEGER) AS luma FROM f")
 def illumination_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain (mean / field)^0.7, with block means as the slow field."""
-    px = V.pixels(spark, sf_dir).where("frame_id < 100")
+    px = V.pixels(spark, sf_dir)
     frame = Window.partitionBy("frame_id")
     field = F.avg("luma").over(Window.partitionBy("frame_id", F.floor(F.col("px") / 4), F.floor(F.col("py") / 4)))
     gain = F.pow(F.avg("luma").over(frame) / F.greatest(field, F.lit(1.0)), F.lit(0.7))
@@ -217,18 +217,18 @@ def box_foreground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.join(share, "frame_id", "left").select("frame_id", F.round(F.coalesce("s", F.lit(1.0)), 5).alias("fg_consistency"))
 
 
-@query(f"""{_FG}, m AS (SELECT frame_id, camera_id, p, on_, (px + py) % 2 = 0 AS even FROM fg WHERE frame_id < 60)
+@query(f"""{_FG}, m AS (SELECT frame_id, camera_id, p, on_, (px + py) % 2 = 0 AS even FROM fg)
 SELECT frame_id, count(*) FILTER (on_ OR even) AS either, count(*) FILTER (on_ AND even) AS both_, count(*) FILTER (NOT on_) AS neither, count(*) FILTER (on_ AND NOT even) AS minus FROM m GROUP BY frame_id""")
 def mask_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     on, even = F.col("on_"), (F.col("px") + F.col("py")) % 2 == 0
-    return foreground(spark, sf_dir).where("frame_id < 60").groupBy("frame_id").agg(F.count_if(on | even).alias("either"), F.count_if(on & even).alias("both_"), F.count_if(~on).alias("neither"), F.count_if(on & ~even).alias("minus"))
+    return foreground(spark, sf_dir).groupBy("frame_id").agg(F.count_if(on | even).alias("either"), F.count_if(on & even).alias("both_"), F.count_if(~on).alias("neither"), F.count_if(on & ~even).alias("minus"))
 
 
-@query(f"{_FG}, c AS (SELECT * FROM fg WHERE frame_id < 60 AND on_) SELECT DISTINCT f.frame_id, f.p FROM fg f JOIN c ON c.frame_id = f.frame_id AND abs(c.px - f.px) <= 1 AND abs(c.py - f.py) <= 1")
+@query(f"{_FG}, c AS (SELECT * FROM fg WHERE on_) SELECT DISTINCT f.frame_id, f.p FROM fg f JOIN c ON c.frame_id = f.frame_id AND abs(c.px - f.px) <= 1 AND abs(c.py - f.py) <= 1")
 def mask_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 x 3 dilation by offsets: no join, each set pixel names its neighbours."""
     near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    on = foreground(spark, sf_dir).where("frame_id < 60 AND on_")
+    on = foreground(spark, sf_dir).where("on_")
     wide = on.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("frame_id", (F.col("px") + F.col("dx")).alias("px"), (F.col("py") + F.col("dy")).alias("py"))
     return wide.where("px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7").select("frame_id", (F.col("py") * 8 + F.col("px")).alias("p")).distinct()
 
@@ -272,13 +272,13 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roots.select("camera_id", F.col("label").alias("band"), (F.dense_rank().over(Window.partitionBy("camera_id").orderBy("root")) - 1).alias("label"))
 
 
-@query(_FG.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT frame_id, p, px, py FROM fg WHERE frame_id < 40 AND on_), e AS (SELECT a.frame_id, a.p AS a, b.p AS b FROM s a JOIN s b ON a.frame_id = b.frame_id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1)
+@query(_FG.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT frame_id, p, px, py FROM fg WHERE on_), e AS (SELECT a.frame_id, a.p AS a, b.p AS b FROM s a JOIN s b ON a.frame_id = b.frame_id AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1)
 , reach AS (SELECT frame_id, a, b FROM e UNION SELECT r.frame_id, r.a, e.b FROM reach r JOIN e ON r.frame_id = e.frame_id AND r.b = e.a), roots AS (SELECT frame_id, a AS p, min(b) AS root FROM reach GROUP BY ALL)
 SELECT frame_id, root, count(*) AS area, min(px) AS x0, min(py) AS y0, max(px) AS x1, max(py) AS y1 FROM roots JOIN s USING (frame_id, p) GROUP BY frame_id, root""")
 def blob_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight-neighbour components of the foreground with box and area; the edges
     come from four offsets, so each frame adds at most four for a pixel."""
-    s = foreground(spark, sf_dir).where("frame_id < 40 AND on_").select("frame_id", "p", "px", "py")
+    s = foreground(spark, sf_dir).where("on_").select("frame_id", "p", "px", "py")
     ways = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))])
     ends = s.select("frame_id", F.col("p").alias("a"), "px", "py", F.explode(ways).alias("d")).select("frame_id", "a", (F.col("px") + F.col("d.dx")).alias("px"), (F.col("py") + F.col("d.dy")).alias("py"))
     edges = ends.join(s.withColumnRenamed("p", "b"), ["frame_id", "px", "py"]).select("frame_id", "a", "b")
@@ -357,13 +357,17 @@ def quad_corner_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("i", *[F.get(c, F.lit(n))["k"].alias(name) for name, c, n in (("nl", "near", 0), ("nr", "near", 1), ("fr", "far", 1), ("fl", "far", 0))])
 
 
-@query(f"{_P}, h AS (SELECT camera_id, p, frame_id < 50 AS early, avg(luma) AS m FROM pixels WHERE frame_id < 100 GROUP BY ALL) SELECT camera_id, round(avg(abs(a.m - b.m)), 4) AS score, avg(abs(a.m - b.m)) > 40 AS stale FROM h a JOIN h b USING (camera_id, p) WHERE a.early AND NOT b.early GROUP BY camera_id")
+@query(f"""{_P}, e AS (SELECT camera_id, min(frame_id) + max(frame_id) AS ends FROM pixels GROUP BY ALL), h AS (SELECT camera_id, p, 2 * frame_id < ends AS early, avg(luma) AS m FROM pixels JOIN e USING (camera_id) GROUP BY ALL)
+SELECT camera_id, round(avg(abs(a.m - b.m)), 4) AS score, avg(abs(a.m - b.m)) > 40 AS stale FROM h a JOIN h b USING (camera_id, p) WHERE a.early AND NOT b.early GROUP BY camera_id""")
 def stale_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean difference of an old and a new background, above 40 stale."""
-    early = F.col("frame_id") < 50
-    m = V.pixels(spark, sf_dir).where("frame_id < 100").groupBy(*_CELL).agg(F.avg(F.when(early, F.col("luma"))).alias("a"), F.avg(F.when(~early, F.col("luma"))).alias("b"))
+    """Mean difference of the backgrounds of the older and the newer half of a
+    camera's frames, above 40 stale."""
+    px = V.pixels(spark, sf_dir)
+    ends = px.groupBy("camera_id").agg((F.min("frame_id") + F.max("frame_id")).alias("ends"))
+    early = 2 * F.col("frame_id") < F.col("ends")
+    m = px.join(ends, "camera_id").groupBy(*_CELL).agg(F.avg(F.when(early, F.col("luma"))).alias("a"), F.avg(F.when(~early, F.col("luma"))).alias("b"))
     d = F.avg(F.abs(F.col("a") - F.col("b")))
-    return m.groupBy("camera_id").agg(F.round(d, 4).alias("score"), (d > 40).alias("stale"))
+    return m.where("a IS NOT NULL AND b IS NOT NULL").groupBy("camera_id").agg(F.round(d, 4).alias("score"), (d > 40).alias("stale"))
 
 
 @query(f"{_P}, g AS (SELECT camera_id, frame_id // 8 AS window_, p, avg(luma) AS m FROM pixels WHERE (frame_id // 2) % 4 < 4 GROUP BY ALL) SELECT camera_id, window_, p, CAST(trunc(m) AS INTEGER) AS luma FROM g")

@@ -97,10 +97,10 @@ def notch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.notches(spark, sf_dir).select("i", F.coalesce(sound, F.lit(False)).alias("accepted"), F.left(F.trim(F.coalesce(F.nullif("note", F.lit("")), F.lit("added"))), F.lit(12)).alias("note"))
 
 
-@query(f"{_N} SELECT i, coalesce((lo + hi) / 2, center, 0) AS centre FROM notches ORDER BY coalesce((lo + hi) / 2, center, 0), i LIMIT 50")
+@query(f"{_N} SELECT i, coalesce((lo + hi) / 2, center, 0) AS centre FROM notches")
 def notch_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.coalesce((F.col("lo") + F.col("hi")) / 2, "center", F.lit(0.0))
-    return V.notches(spark, sf_dir).select("i", c.alias("centre")).orderBy("centre", "i").limit(50)
+    return V.notches(spark, sf_dir).select("i", c.alias("centre")).orderBy("centre", "i")
 
 
 _GAIN = "CAST((i % 7 - 3) * 2 AS INTEGER)"

@@ -106,6 +106,9 @@ class WindowScan:
         self.window = Accumulator.load(text)
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def batch(df: DataFrame, adapter: Callable, order: list[str], schema: str, keys: tuple[str, ...] = ("camera_id",)) -> DataFrame:
     """A bounded table through an adapter, one state a key."""
     return ordered_scan(df, list(keys), order, adapter, schema)
@@ -136,7 +139,8 @@ class Processor(StatefulProcessor):
 
 
 def stream(df: DataFrame, adapter: Callable, order: list[str], schema: str, keys: tuple[str, ...] = ("camera_id",)) -> DataFrame:
-    """An unbounded table through an adapter; the state never expires. Needs the
-    RocksDB state store."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """An unbounded table through an adapter; the state never expires. The session's
+    state store must be RocksDB, which the operator needs."""
+    if not df.sparkSession.conf.get(STATE_STORE, "").endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"set {STATE_STORE} to org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return df.groupBy(*keys).transformWithStateInPandas(Processor(adapter, order, schema), schema, "Update", "None")
