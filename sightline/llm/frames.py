@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoints import cut, shared_folder  # noqa: F401
+
 #: Rows that a function over Arrow batches is given at once.
 BATCH_ROWS = 1000
 
@@ -16,24 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where that is unset one of our own,
-    in local mode only: the nodes of a cluster share no local folder."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if not spark.sparkContext.master.partition("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
-    return tempfile.mkdtemp(prefix="sightline-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def arrow_map(df: DataFrame, columns: dict[str, Column], make, schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Run ``make()``'s function over Arrow batches of the named columns only.
 
