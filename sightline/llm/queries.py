@@ -86,14 +86,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM nam
 """
 
 _OP8 = """
-WITH sound AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH sound AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
-  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+  SELECT q.n, q.vec_id AS query_id, c.vec_id AS vec_id, CASE WHEN len(q.v) = 0 THEN 0 ELSE CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) END AS score
+  FROM sound q JOIN sound c ON q.n <> c.n AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

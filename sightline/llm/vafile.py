@@ -1,122 +1,300 @@
-"""Exact top-k by inner product over vector-approximation files.
+"""Exact top-k by inner product over a vector-approximation file.
 
-Components become the integers floor(1024 * x). Each block of vectors keeps for
-each dimension the cell (of ``CELLS``) that holds the component. A scan of the
-cells bounds every inner product from above; exact vectors are then read in the
-order of their bounds, in growing pieces, until the k-th best score is above what
-any vector not yet read can reach.
+Components become the integers floor(1024 * x). The approximation file has one
+byte for each: the number of the cell of its dimension (``CELLS`` equal cells
+between the least and the greatest component of all vectors). The middle of a
+vector's cells gives its score with a query up to a reach that the query alone
+fixes, half the cells' widths times the sizes of its components.
 
-Queries and vectors are dealt into blocks of a fixed size; each pair of blocks is
-one task's group and returns k rows a query, of which a last step keeps the best.
+Queries go to all tasks in blocks of a checked size. A task scans its part of the
+file once for each block and keeps, for each query, the vectors whose upper bound is
+not below the k-th best lower bound that it has seen. Of what the tasks kept, the
+vectors that pass the k-th best lower bound of all are joined to their exact
+components, which move for them alone, and are read in the order of their bounds
+until the k-th best score is above what any vector not yet read can reach.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE = 1024
-CELLS = 64
-QUERY_BLOCK = 1024
-VECTOR_BLOCK = 8192
-#: Largest size of a scaled component. Scores that leave 64 bits are computed
-#: exactly and returned as the nearest long.
-LARGEST = 1 << 61
-
+from .frames import arrow_map, cut
 
-def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")))
+SCALE = 1024.0
+CELLS = 256
+#: Queries in a block, and bytes of their components at most (one query at least).
+QUERY_BLOCK, BLOCK_BYTES = 4096, 1 << 25
+#: Queries answered together by one task.
+ANSWERED = 256
+#: Candidates that a task holds before it drops those that have fallen behind.
+HELD = 1 << 21
+#: Sizes of scaled components up to which products of floats are safe.
+SAFE = 1e140
 
 
 def usable(vector: Column) -> Column:
-    """Neither null nor empty nor with a null or non-finite component, nor with one
-    beyond ``LARGEST / SCALE`` in size."""
-    sound = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) <= LARGEST // SCALE), F.lit(False)))
-    return F.coalesce(sound & (F.size(vector) > 0), F.lit(False))
-
-
-def cells(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell number of each component, and the edges of each dimension's cells."""
-    low, high = vectors.min(axis=0), vectors.max(axis=0)
-    width = np.maximum((high - low) // CELLS + 1, 1)
-    return ((vectors - low) // width).astype(np.uint8), low, width
-
-
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, vector number and score of the k best of each query, ties to
-    the smaller id; a vector with the query's own id is left out."""
-    code, low, width = cells(vectors)
-    lower = (code * width + low).astype(np.float64)
-    upper = np.minimum(lower + (width - 1), vectors.max(axis=0).astype(np.float64))
-    # Sums of whole numbers are exact below 2**53; larger ones get room for rounding.
-    reach = float(np.abs(queries).max()) * float(np.abs(vectors).max() + 1) * vectors.shape[1]
-    room = reach * 2.0**-40 if reach >= 2.0**53 else 0.0
-    whole = reach < 2.0**62
-    if not whole:
-        vectors, queries = vectors.astype(object), queries.astype(object)
-    bound = room + np.maximum(queries, 0).astype(np.float64) @ upper.T + np.minimum(queries, 0).astype(np.float64) @ lower.T
-    bound[:] = np.maximum(bound, -np.finfo(float).max)
-    out = []
-    for q in range(len(queries)):
-        bounds = np.where(ids == query_ids[q], -np.inf, bound[q])
-        n, piece = int((bounds > -np.inf).sum()), max(4 * k, 64)
-        while True:
-            piece = min(piece, n)
-            near = np.argpartition(-bounds, piece - 1)[:piece] if 0 < piece < len(bounds) else np.flatnonzero(bounds > -np.inf)
-            scores = vectors[near] @ queries[q]
-            order = np.lexsort((ids[near], -scores))[:k] if whole else np.array(sorted(range(len(near)), key=lambda i: (-scores[i], ids[near[i]]))[:k], int)
-            if piece >= n:
-                break
-            beyond = np.partition(bounds, len(bounds) - piece - 1)[len(bounds) - piece - 1]
-            if len(order) == k and scores[order[-1]] > beyond:
-                break
-            piece *= 4
-        most = np.iinfo(np.int64)
-        out.append((np.full(len(order), q), near[order], scores[order] if whole else np.array([min(max(s, most.min), most.max) for s in scores[order]], np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _search(k: int):
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "n": []}, dtype="int64")
-        queries, vectors = (np.stack(x["v"].to_numpy()).astype(np.int64) for x in (left, right))
-        ids, query_ids = right["id"].to_numpy(np.int64), left["id"].to_numpy(np.int64)
-        q, v, score = best(queries, query_ids, vectors, ids, k)
-        return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[v], "score": score, "n": right["n"].to_numpy(np.int64)[v]})
-
-    return search
+    """Neither null nor with a null or non-finite component."""
+    sound = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.coalesce(sound, F.lit(False))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x) exactly: as 64-bit integers, or Python's if any is larger."""
+    x = x.astype(np.float64)
+    with np.errstate(over="ignore"):
+        s = np.floor(x * SCALE)
+    if s.size == 0 or np.abs(s).max() < 2.0**62:
+        return s.astype(np.int64)
+    exact = [int(a) if np.isfinite(a) else int(b) * int(SCALE) for a, b in zip(s.ravel(), x.ravel(), strict=True)]
+    return np.array(exact, object).reshape(x.shape)
+
+
+def _rough(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(x.astype(np.float64) * SCALE), -2 * SAFE, 2 * SAFE)
+
+
+def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
+    """The vectors in ``rows`` of a list column, all of length ``dim``."""
+    values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(rows), dim)
+
+
+def _by_dim(dims: np.ndarray):
+    for dim in np.unique(dims):
+        yield int(dim), np.flatnonzero(dims == dim)
+
+
+class Cells:
+    """The cells of one length of vectors."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.low = low
+        self.width = np.maximum((high - low) / CELLS, 1.0)
+        self.most = np.maximum(np.abs(low), np.abs(high)) + self.width
+
+    def code(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((_rough(x) - self.low) // self.width, 0, CELLS - 1).astype(np.uint8)
+
+    def middles(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Score of each query (row) with the middle of each vector's cells."""
+        return (queries * self.width) @ codes.T.astype(np.float64) + (queries @ (self.low + self.width / 2))[:, None]
+
+    def reach(self, queries: np.ndarray) -> np.ndarray:
+        """How far a score can be from that of the middle, rounding included."""
+        size = np.abs(queries)
+        out = size @ self.width * 0.5 * (1 + 1e-9) + size @ self.most * (len(self.low) + 8) * 2.0**-50 + 1
+        safe = np.all(size < SAFE, axis=1) & bool(np.all(self.most < SAFE))
+        return np.where(safe, out, np.inf)
+
+
+def _extremes():
+    def step(batch):
+        dims = batch.column(0).to_numpy()
+        found = [(dim, _rough(_matrix(batch.column(1), rows, dim))) for dim, rows in _by_dim(dims)]
+        return [d for d, _ in found], [x.min(axis=0) for _, x in found], [x.max(axis=0) for _, x in found]
+
+    return step
+
+
+def learn_cells(exact: DataFrame) -> dict[int, Cells]:
+    """Cells of each length of vectors, from all of them; two numbers for each
+    dimension reach the driver."""
+    parts = arrow_map(exact, {"dim": F.col("dim"), "v": F.col("v")}, _extremes, "dim int, low array<double>, high array<double>", batch_rows=8192)
+    ends = parts.select("dim", F.posexplode_outer(F.arrays_zip("low", "high"))).groupBy("dim", "pos").agg(F.min("col.low").alias("low"), F.max("col.high").alias("high"))
+    out: dict[int, list] = {}
+    for r in sorted(ends.collect(), key=lambda r: (r["dim"], r["pos"] or 0)):
+        out.setdefault(r["dim"], []).extend([(r["low"], r["high"])] if r["pos"] is not None else [])
+    return {dim: Cells(*np.array(ends, float).reshape(-1, 2).T) for dim, ends in out.items()}
+
+
+def _coded(cells: dict[int, Cells]):
+    def make():
+        def step(batch):
+            dims = batch.column(1).to_numpy()
+            out: list[bytes] = [b""] * len(dims)
+            for dim, rows in _by_dim(dims):
+                for i, code in zip(rows, cells[dim].code(_matrix(batch.column(2), rows, dim)), strict=True):
+                    out[i] = code.tobytes()
+            return batch.column(0), batch.column(1), out
+
+        return step
+
+    return make
+
+
+class Scan:
+    """The candidates of one block of queries of one length, over a part of the file."""
+
+    def __init__(self, cells: Cells, queries: np.ndarray, k: int):
+        self.cells, self.queries, self.k = cells, queries, k
+        self.reach = cells.reach(queries)
+        self.top = np.full((len(queries), k), -np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def read(self, rows: np.ndarray, codes: np.ndarray) -> None:
+        middles = np.nan_to_num(self.cells.middles(self.queries, codes), nan=0.0)
+        both = np.concatenate([self.top, middles], axis=1)
+        self.top = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        q, at = np.nonzero(middles >= self._least()[:, None])
+        self.kept.append((q, rows[at], middles[q, at]))
+        self.held += len(q)
+        if self.held > HELD:
+            self.drop()
+
+    def _least(self) -> np.ndarray:
+        """Middles below this can't be among the best: their upper bound is below
+        the k-th best lower bound. (Infinite reach: none is.)"""
+        with np.errstate(invalid="ignore"):
+            return np.where(np.isfinite(self.reach), self.top.min(axis=1) - 2 * self.reach, -np.inf)
+
+    def drop(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, row, middle = (np.concatenate(x) if self.kept else np.zeros(0) for x in (zip(*self.kept, strict=True) if self.kept else [()] * 3))
+        near = middle >= self._least()[q.astype(int)]
+        self.kept = [(q[near], row[near], middle[near])]
+        self.held = int(near.sum())
+        return self.kept[0]
+
+
+def _scan(sent, k: int):
+    """Over a part of the approximation file; ``sent`` has the cells and, for each
+    length, numbers and components of the block's queries."""
+
+    def run(batches):
+        cells, block = sent.value
+        scans = {dim: Scan(cells[dim], queries, k) for dim, (_, queries) in block.items()}
+        for whole_batch in batches:
+            for low in range(0, whole_batch.num_rows, 1024):
+                batch = whole_batch.slice(low, 1024)
+                dims, rows = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+                for dim, at in _by_dim(dims):
+                    if dim in scans:
+                        joined = b"".join(batch.column(2).take(pa.array(at)).to_pylist())
+                        scans[dim].read(rows[at], np.frombuffer(joined, np.uint8).reshape(len(at), dim))
+        for dim, scan in scans.items():
+            q, row, middle = scan.drop()
+            if len(q):
+                q = q.astype(int)
+                yield pa.RecordBatch.from_arrays([pa.array(block[dim][0][q]), pa.array(row.astype(np.int64)), pa.array(middle), pa.array(scan.reach[q])], names=["q", "row", "middle", "reach"])
+
+    return run
+
+
+def best(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, upper: np.ndarray, k: int) -> tuple[list[int], list[int], int]:
+    """Places and scores of the k best, ties to the smaller id, and how many vectors
+    were read: in the order of their upper bounds, in growing pieces."""
+    order = np.argsort(-upper, kind="stable")
+    places: list[int] = []
+    scores: list[int] = []
+    read, piece = 0, max(2 * k, 16)
+    exact_query = whole(query)
+    while read < len(order):
+        some = order[read : read + piece]
+        exact = whole(vectors[some])
+        if exact.dtype == object or exact_query.dtype == object or float(np.abs(exact).max(initial=0)) * float(np.abs(exact_query).max(initial=0)) * max(1, len(query)) >= 2.0**62:
+            exact, own = exact.astype(object), exact_query.astype(object)
+        else:
+            own = exact_query
+        found = [int(s) for s in (exact * own).sum(axis=1)] if len(query) else [0] * len(some)
+        ranked = sorted(zip([*scores, *found], [*places, *some.tolist()], strict=True), key=lambda x: (-x[0], ids[x[1]]))[:k]
+        scores, places = [s for s, _ in ranked], [p for _, p in ranked]
+        read += len(some)
+        piece *= 2
+        if read < len(order) and len(scores) == k and scores[-1] > float(upper[order[read]]):
+            break
+    return places, scores, read
+
+
+def _answers(k: int):
+    most = np.iinfo(np.int64)
+
+    def answer(asked: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        near = near.sort_values(["q", "vec_id", "row"])
+        for query in asked.itertuples(index=False):
+            low, high = near["q"].searchsorted([query.q, query.q + 1])
+            if low == high:
+                continue
+            ids, upper = near["vec_id"].to_numpy()[low:high], (near["middle"] + near["reach"]).to_numpy()[low:high]
+            vectors = np.stack(near["v"].to_numpy()[low:high])
+            # The query's own row: one of those that are as it.
+            same = np.flatnonzero((ids == query.query_id) & (vectors == query.v).all(axis=1))
+            keep = np.arange(len(ids)) != (same[0] if len(same) else -1)
+            ids, upper, vectors = ids[keep], upper[keep], vectors[keep]
+            places, scores, _ = best(np.asarray(query.v), vectors, ids, upper, k)
+            out += [(query.query_id, n + 1, int(ids[p]), min(max(s, most.min), most.max), query.n) for n, (p, s) in enumerate(zip(places, scores, strict=True))]
+        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score", "n"])
+
+    return answer
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best of ``vectors`` for each query.
+    """``(query_id, rank, vec_id, score)``: the k best of ``vectors`` for each row of
+    ``queries``.
 
-    Both tables have ``vec_id`` and ``embedding``. Vectors that aren't ``usable``
-    or have a null id take no part; lengths are compared with their equals only.
-    Queries that repeat an id count once, with the least vector; every other row
-    is a candidate, repeated rows too. No candidates: no rows.
+    Both tables have ``vec_id`` and ``embedding``. Rows that aren't ``usable`` or
+    have a null id take no part; vectors are compared with those of their length
+    only, empty ones too (score 0). For each query one row of ``vectors`` that
+    equals it in id and components is its own and is left out; all others are
+    candidates, also those with its id, and repeated rows each return. Rows with
+    equal vectors tie for every query, so the k + 1 first of them by id stand for
+    all. Scores outside 64 bits are ranked exactly and returned as the nearest long.
+    No candidates: no rows.
     """
     def read(df: DataFrame) -> DataFrame:
         v = F.col(embedding)
-        return df.where(usable(v) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), scaled(v).alias("v")).withColumn("dim", F.size("v"))
-
-    asked = read(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    # Rows that repeat are one with a count, so that no block fills up with them.
-    stored = read(vectors).groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
-    n_asked, n_stored = queries.count(), vectors.count()
-    q_blocks, v_blocks = math.ceil(n_asked / QUERY_BLOCK) or 1, math.ceil(n_stored / VECTOR_BLOCK) or 1
-
-    def numbers(n: int) -> Column:
-        return F.sequence(F.lit(0), F.lit(n - 1))
-
-    own_q, own_v = F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"), F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int")
-    left = asked.withColumn("qb", own_q).withColumn("vb", F.explode(numbers(v_blocks))).groupBy("dim", "qb", "vb")
-    right = stored.withColumn("vb", own_v).withColumn("qb", F.explode(numbers(q_blocks))).groupBy("dim", "qb", "vb")
-    found = left.cogroup(right).applyInPandas(_search(k), "query_id long, vec_id long, score long, n long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(k).cast("long")))))
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        kind = "float" if df.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+        # Minus zero becomes zero, so that equal vectors are alike bit by bit.
+        return df.where(usable(v) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.transform(v, lambda x: x.cast(kind) + F.lit(0).cast(kind)).alias("v"))
+
+    alike = Window.partitionBy("h", "v").orderBy("id")
+    firsts = read(vectors).withColumn("h", F.xxhash64("v")).withColumn("turn", F.row_number().over(alike)).where(F.col("turn") <= k + 1)
+    exact = cut(firsts.select("id", "v", F.size("v").alias("dim")).withColumn("row", F.monotonically_increasing_id()))
+    asked = cut(read(queries).groupBy("id", "v").agg(F.count("*").alias("n")).withColumn("dim", F.size("v")).withColumn("q", F.monotonically_increasing_id()))
+    cells = learn_cells(exact)
+    file = cut(arrow_map(exact, {"row": F.col("row"), "dim": F.col("dim"), "v": F.col("v")}, _coded(cells), "row long, dim int, code binary"))
+
+    spark, found = vectors.sparkSession, None
+    for block in _blocks(asked, cells):
+        sent = spark.sparkContext.broadcast((cells, block))
+        kept = cut(file.mapInArrow(_scan(sent, k + 1), "q long, row long, middle double, reach double"))
+        sent.destroy()
+        found = kept if found is None else found.unionByName(kept)
+    if found is None:
+        return asked.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
+
+    # The k-th best lower bound of all parts (one more, for the query's own row).
+    by_query = Window.partitionBy("q")
+    placed = found.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("middle"))))
+    bar = F.max(F.when(F.col("turn") == k + 1, F.col("middle") - 2 * F.col("reach"))).over(by_query)
+    near = placed.withColumn("bar", bar).where(F.col("bar").isNull() | (F.col("middle") >= F.col("bar"))).select("q", "row", "middle", "reach")
+    with_vectors = near.join(exact, "row").select("q", "row", "middle", "reach", F.col("id").alias("vec_id"), "v")
+    n_groups = max(1, asked.count() // ANSWERED)
+    group = F.pmod(F.xxhash64("q"), F.lit(n_groups)).alias("g")
+    left = asked.select("q", F.col("id").alias("query_id"), "v", "n", group).groupBy("g")
+    answers = left.cogroup(with_vectors.select("*", group).groupBy("g")).applyInPandas(lambda a, b: _answers(k)(a, b), "query_id long, rank int, vec_id long, score long, n long")
+    return answers.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("query_id", "rank", "vec_id", "score")
+
+
+def _blocks(asked: DataFrame, cells: dict[int, Cells]):
+    """Blocks of queries, as numbers and scaled components for each length: so many
+    rows at most that they may be sent to every task."""
+    block: dict[int, list] = {}
+    rows = size = 0
+    for r in asked.where(F.col("dim").isin(*cells) if cells else F.lit(False)).select("q", "v").toLocalIterator():
+        if rows and (rows >= QUERY_BLOCK or size + 8 * len(r["v"]) > BLOCK_BYTES):
+            yield _packed(block)
+            block, rows, size = {}, 0, 0
+        block.setdefault(len(r["v"]), []).append((r["q"], r["v"]))
+        rows, size = rows + 1, size + 8 * len(r["v"])
+    if rows:
+        yield _packed(block)
+
+
+def _packed(block: dict[int, list]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    return {dim: (np.array([q for q, _ in got], np.int64), _rough(np.array([v for _, v in got], float).reshape(len(got), dim))) for dim, got in block.items()}

@@ -3,9 +3,11 @@ rows, clashing columns and no rows, held against brute force."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -484,33 +486,62 @@ def test_subset_sums_are_as_near_as_can_be():
 # --- search ------------------------------------------------------------------
 
 
+def slow_top_k(rows, is_query, k=10):
+    """``rows``: (id, exact integer components)."""
+    out = []
+    for n, (q, v) in enumerate(rows):
+        if is_query(q):
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(rows) if m != n and len(w) == len(v))[:k]
+            out += [(q, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(near)]
+    return sorted(out)
+
+
+def exact_components(v):
+    return [math.floor(Fraction(float(x)) * 1024) for x in v]
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vafile, "VECTOR_BLOCK", 60)
     monkeypatch.setattr(vafile, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vafile, "HELD", 100)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(x) for x in rng.choice([-0.5, 0.25, 0.1, 2.0], 6)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (None, [0.1] * 6), (400, [0.1, 0.2]), (401, [0.1, 0.3]), (7, [2.0] * 6), *[(9, [2.0] * 6)] * 3]
+    rows += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, []), (500, []), (None, [0.1] * 6), (400, [0.1, 0.2]), (401, [0.1, 0.3])]
+    # Repeated ids and rows, queries among them, and one vector that very many rows have.
+    rows += [(7, [2.0] * 6), *[(9, [2.0] * 6)] * 3, (100, [0.5] * 6), *[(200, [0.25] * 6)] * 3, *[(i, [1.5] * 6) for i in range(1000, 1150)]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dim", F.lit("x")).withColumn("v", F.lit(0))
-    got = {}
-    for r in vafile.top_k(df, df.where("vec_id % 100 = 0")).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    sound = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    for q, v in sound:
-        if q % 100 == 0:
-            near = sorted((-int(v @ w), j) for j, w in sound if j != q and len(w) == len(v))[:10]
-            assert sorted(got[q]) == [(k + 1, j, -s) for k, (s, j) in enumerate(near)]
+    got = vafile.top_k(df, df.where("vec_id % 100 = 0")).collect()
+    sound = [(i, exact_components(np.array(v, np.float32))) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    assert sorted(map(tuple, got)) == slow_top_k(sound, lambda q: q % 100 == 0)
     assert vafile.top_k(df.limit(0), df.limit(0)).collect() == []
+    assert vafile.top_k(df, df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("bits", [20, 27, 40, 60])
-def test_bounds_hold_for_large_components(bits):
+@pytest.mark.parametrize("bits", [10, 27, 51, 120, 1000])
+def test_top_k_of_large_components(spark, bits):
     rng = np.random.default_rng(2)
-    v = rng.integers(-(1 << bits), 1 << bits, (200, 32))
-    q, at, score = vafile.best(v[:5], np.arange(5), v, np.arange(200), 10)
-    for k in range(5):
-        exact = [(-sum(int(a) * int(b) for a, b in zip(v[k], w, strict=True)), j) for j, w in enumerate(v) if j != k]
-        top = [(max(s, -(2**63) + 1), j) for s, j in sorted(exact)[:10]]
-        assert [(-int(s), int(j)) for s, j in zip(score[q == k], at[q == k], strict=True)] == top
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 5) * 2.0**bits]) for i in range(60)] + [(60, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vafile.top_k(df, df.where("vec_id % 20 = 0")).collect()
+    assert sorted(map(tuple, got)) == slow_top_k([(i, exact_components(v)) for i, v in rows], lambda q: q % 20 == 0)
+
+
+def test_bounds_hold_and_prune():
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (2000, 16))
+    rough = np.floor(v * 1024)
+    cells = vafile.Cells(rough.min(axis=0), rough.max(axis=0))
+    scan = vafile.Scan(cells, rough[:7], 11)
+    for low in range(0, 2000, 300):
+        scan.read(np.arange(low, min(2000, low + 300)), cells.code(v[low : low + 300]))
+    q, row, middle = scan.drop()
+    exact = rough[:7] @ rough.T
+    assert (np.abs(exact[q.astype(int), row.astype(int)] - middle) <= scan.reach[q.astype(int)]).all()
+    for k in range(7):
+        assert set(np.argsort(-exact[k])[:11]) <= set(row[q == k].astype(int))
+    # Few are left for exact reading, and not all of those are read.
+    assert len(q) < 7 * 200
+    places, scores, read = vafile.best(v[0], v, np.arange(2000), cells.middles(rough[:1], cells.code(v))[0] + scan.reach[0], 10)
+    assert scores == sorted(exact[0].astype(int).tolist(), reverse=True)[:10] and read < 200
 
 
 # --- byte-level BPE ----------------------------------------------------------
