@@ -7,6 +7,7 @@ the union, and estimate resemblance, containment and the number of shingles.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -15,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .frames import arrow_map, raw_texts
+from .frames import arrow_map, numbered, ranked, raw_texts
 
 K = 128
 WIDTH = 5
-MAX_BUCKETS = 10_000
 
 
 def sketch(raw: bytes, k: int = K, width: int = WIDTH) -> np.ndarray:
@@ -116,64 +116,64 @@ def _in_order():
         nonlocal held
         rows = []
         for bucket, copy, doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw_texts(batch.column(3)), strict=True):
-            text, mark = raw.decode(), sketch(raw)
+            text, mark = raw.decode(errors="replace"), sketch(raw)
             if held is not None and held[0] == bucket:
                 _, before_id, before, before_mark = held
                 other = edited(before, text)
                 other_mark = sketch(other.encode())
-                rows.append((before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), shown(before_mark), shown(other_mark), resemblance(before_mark, other_mark), resemblance(before_mark, mark)))
+                shared = containment(before_mark, other_mark)
+                rows.append((before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), shown(before_mark), shown(other_mark), resemblance(before_mark, other_mark), resemblance(before_mark, mark), shared, count(before_mark)))
             held = None if copy else (bucket, doc_id, text, mark)
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(7)]
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(9)]
 
     return step
 
 
-def _targets(cuts: np.ndarray, firsts: dict[int | None, int]):
-    """Buckets of each id: its own, and that before it if the id opens a bucket."""
+def _targets(cuts: list[tuple], first: tuple):
+    """Buckets of each row: its own, and the one before if the row opens its own.
+    ``cuts`` are the keys of the rows that open the second and later buckets."""
 
     @F.pandas_udf("array<int>")
-    def targets(ids: pd.Series) -> pd.Series:
-        return pd.Series([_of(None if pd.isna(i) else int(i), cuts, firsts) for i in ids.astype("Int64")])
+    def targets(ids: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for key in zip([(0, 0) if x is None else (1, int(x)) for x in ids], a.tolist(), b.tolist(), strict=True):
+            own = bisect.bisect_right(cuts, key)
+            opens = own > 0 and cuts[own - 1] == key
+            out.append([own, own - 1] if opens else [own, len(cuts)] if key == first else [own])
+        return pd.Series(out)
 
-    return targets
+    return lambda *c: targets(F.col(c[0]).cast("string"), *map(F.col, c[1:]))
 
 
-def _of(i: int | None, cuts: np.ndarray, firsts: dict[int | None, int]) -> list[int]:
-    own = 0 if i is None else int(np.searchsorted(cuts, i, "right"))
-    return [own, firsts[i]] if i in firsts else [own]
-
-
-def _bounds(ids: DataFrame, rows_in_bucket: int) -> tuple[np.ndarray, dict[int | None, int]]:
-    """Bucket bounds, and for the id that opens a bucket the bucket before it.
-
-    At most ``MAX_BUCKETS`` numbers reach the driver, one for each rows_in_bucket rows.
-    """
-    n = max(1, min(MAX_BUCKETS, ids.count() // rows_in_bucket))
-    quantiles = ids.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
-    cuts = np.array(sorted({int(q) for q in quantiles}), np.int64)
-    bucket = F.element_at(_targets(cuts, {})("doc_id"), 1)
-    opens = sorted(ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect(), key=lambda r: r["bucket"])
-    firsts: dict[int | None, int] = {}
-    for k, r in enumerate(opens):
-        firsts[None if r["nulls"] else r["low"]] = opens[k - 1]["bucket"]
-    return cuts, firsts
+def _key(doc_id: int | None, a: int, b: int) -> tuple:
+    return (0, 0) if doc_id is None else (1, doc_id), a, b
 
 
 def edit_check(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_in_bucket: int = 2000) -> DataFrame:
-    """Each row's fingerprint, that of its edited text (see ``edited``), and how
-    alike its fingerprint is to the edited text's and to the next row's.
-
-    The order is by doc_id ascending, null ids first, then by text; the last row
-    is followed by the first. Whole texts move once, to buckets of consecutive ids
-    with bounds from quantiles; a copy of each bucket's first row goes to the
-    bucket before it. A task streams its sorted rows and holds two. Null text: as
-    an empty one. Repeated rows each return. An empty table gives no rows.
+    """Each row's fingerprint, that of its edited text (see ``edited``), how alike its
+    fingerprint is to the edited text's and to the next row's, the share of its
+    shingles that the edited text has, and its number of distinct shingles.
+
+    The order is by doc_id ascending, null ids first, then by a hash of the row and
+    its place, so that rows of one id split over tasks like any other; the last row
+    is followed by the first. Rows are ranked by these narrow keys alone, and every
+    so many of them one opens a bucket: ``rows_in_bucket``, or more where there would
+    be over four buckets a shuffle partition. Whole texts move once, to their bucket;
+    a copy of the row that opens a bucket goes to the bucket before it. A task streams
+    its sorted rows and holds two. Null text: as an empty one. Repeated rows each
+    return. An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    cuts, firsts = _bounds(rows.select("doc_id"), rows_in_bucket)
-    targets = _targets(cuts, firsts)(F.col("doc_id"))
-    dealt = rows.select("doc_id", "text", F.posexplode(targets).alias("copy", "bucket")).repartitionById(len(cuts) + 1, F.col("bucket"))
+    keyed, names = numbered(docs)
+    place = F.xxhash64(*names[1:])
+    rows = keyed.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(names[0]).alias("a"), place.alias("b"))
+    keys = ranked(rows.select("doc_id", "a", "b"), [F.col("doc_id").asc_nulls_first(), F.col("a"), F.col("b")], "n")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = keys.count()
+    size = max(rows_in_bucket, -(-total // parts))
+    opening = [_key(*r) for r in keys.where(F.col("n") % size == 0).orderBy("n").select("doc_id", "a", "b").collect()]
+    targets = _targets(opening[1:], opening[0] if opening else ())("doc_id", "a", "b")
+    dealt = rows.select("doc_id", "a", "b", "text", F.posexplode(targets).alias("copy", "bucket")).repartitionById(max(1, len(opening)), F.col("bucket"))
     return arrow_map(
-        dealt.sortWithinPartitions("copy", "doc_id", "text"), {"bucket": F.col("bucket"), "copy": F.col("copy"), "doc_id": F.col("doc_id"), "text": F.col("text")}, _in_order,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", batch_rows=500,
+        dealt.sortWithinPartitions("copy", "doc_id", "a", "b"), {"bucket": F.col("bucket"), "copy": F.col("copy"), "doc_id": F.col("doc_id"), "text": F.col("text")}, _in_order,
+        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_in_edited double, n_shingles double", batch_rows=500,
     )

@@ -246,6 +246,29 @@ def test_merged_sketches(spark):
     assert got[0]["fingerprint"] == sketch.shown(whole)
 
 
+def slow_sketch(text):
+    """Bottom-k of the polynomial hashes of shingles, in whole numbers."""
+    from sightline.llm import hashing
+
+    base, inverse, full = hashing._BASE, pow(hashing._BASE, -1, 1 << 64), (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        return h ^ h >> 31
+
+    w = [mixed(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(x)) & full) for x in re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())]
+    assert base * inverse & full == 1
+    n = min(5, len(w))
+    h = {mixed(sum(x * pow(base, j + 1, 1 << 64) for j, x in enumerate(w[i : i + n])) & full) >> 32 for i in range(len(w) - n + 1) if n}
+    return sorted(h)[: sketch.K]
+
+
+def slow_likeness(a, b):
+    both = sorted({*a, *b})[: sketch.K]
+    return len({*a} & {*b} & {*both}) / len(both) if both else 1.0
+
+
 @pytest.mark.parametrize("rows", [1, 3, 1000])
 def test_edit_check_follows_ids_over_buckets(spark, rows):
     rng = random.Random(8)
@@ -260,7 +283,51 @@ def test_edit_check_follows_ids_over_buckets(spark, rows):
         assert got[i]["n_chars"] == len(text)
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i]["fingerprint"] == sketch.shown(sketch.sketch(text.encode()))
-        assert got[i]["near_next"] == pytest.approx(sketch.resemblance(sketch.sketch(text.encode()), sketch.sketch(after.encode())))
+        own, other = slow_sketch(text), slow_sketch(edited)
+        assert got[i]["near_next"] == pytest.approx(slow_likeness(own, slow_sketch(after)))
+        assert got[i]["near_edited"] == pytest.approx(slow_likeness(own, other))
+        assert got[i]["edited_fingerprint"] == "".join(f"{h:08x}" for h in other)
+        assert 0 <= got[i]["kept_in_edited"] <= 1 and (len(own) == sketch.K or got[i]["n_shingles"] == len(own))
+
+
+def test_edit_check_follows_ids_of_files(spark, tmp_path):
+    """Rows of files, an id that many rows repeat, in small buckets."""
+    rng = random.Random(9)
+    texts = [words(rng, 12) for _ in range(60)] + ["same text of these rows"] * 40
+    ids = [7] * 30 + list(range(100, 130)) + [9] * 40
+    frame(spark, texts, ids).repartition(7).write.parquet(f"{tmp_path}/d.parquet")
+    got = sketch.edit_check(spark.read.parquet(f"{tmp_path}/d.parquet"), rows_in_bucket=5).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == sorted((i, len(t)) for i, t in zip(ids, texts, strict=True))
+    # Every row has one successor and is one: the sketches of the next rows are all sketches.
+    by_id = {r["doc_id"]: r for r in got if 100 <= r["doc_id"] < 129}
+    for i, r in by_id.items():
+        a, b = (texts[30 + j - 100] for j in (i, i + 1))
+        assert r["edited_sha256"] == hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest()
+
+
+def test_words_and_ngrams_over_the_border_of_a_piece(monkeypatch):
+    from sightline.llm import hashing
+
+    rng = random.Random(12)
+    for text in ["".join(rng.choice("ab é漢\t") for _ in range(400)), "x" * 300, "  ", "", " lead", "trail "]:
+        raw = text.encode()
+        whole = hashing.words(raw).tolist(), sorted(np.concatenate([np.zeros(0, np.int32), *hashing.features(raw, 1 << 15, (3, 5))]).tolist())
+        with monkeypatch.context() as m:
+            m.setattr(hashing, "CHUNK", 16)
+            assert hashing.words(raw).tolist() == whole[0]
+            assert sorted(np.concatenate([np.zeros(0, np.int32), *hashing.features(raw, 1 << 15, (3, 5))]).tolist()) == whole[1]
+
+
+def test_ngrams_lie_within_words():
+    from sightline.llm import hashing
+
+    raw = "añb cd añb\nx".encode()
+    spaced = [" añb ", " cd ", " añb ", " x "]
+    grams = sum(max(0, len(w) - n + 1) for w in spaced for n in (3, 5))
+    got = np.concatenate(list(hashing.features(raw, 1 << 15, (3, 5))))
+    assert len(got) == 4 + 3 + grams
+    # 4 words, of them 3 distinct, 3 pairs of neighbours, and the n-grams of 3 distinct words.
+    assert len(set(got.tolist())) == 3 + 3 + sum(max(0, len(w) - n + 1) for w in set(spaced) for n in (3, 5))
 
 
 def test_edit_check_of_few_rows(spark):
