@@ -193,21 +193,23 @@ def slow_judge(url):
     return host, path, best[2], best[3]
 
 
-def test_url_judgement(spark):
+@pytest.mark.parametrize("literal", [1 << 17, 0])
+def test_url_judgement(spark, literal):
     made = [None, "", "no scheme", "http://", "http://COM/en/1", "https://a.b.Example.com/en/71?x=/en/", "http://notexample.com/en/7", "ftp://x.org", "http://x.org#a/b", "http://.com/en/", "http://example.com/EN/7", "a://b://c.com/en/", "http://com.", "http://ÜÄ.com/en/ü", "http://com/en/1"]
     rules = spark.createDataFrame(RULES, "rule_host string, rule_path string, verdict string")
     pages = spark.createDataFrame([(i, u, 1, "k") for i, u in enumerate(made)] + [(None, "http://com/en/", 1, "k"), (1, "http://com/en/", 1, "k")], "page_id long, url string, row int, keys string")
-    got = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in urls.judge(pages, rules).collect())
+    got = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in urls.judge(pages, rules, literal_blocks=literal).collect())
     want = sorted((str(p), *[str(x) for x in slow_judge(u)]) for p, u in [*enumerate(made), (None, "http://com/en/"), (1, "http://com/en/")])
     assert got == want
-    assert urls.judge(pages.limit(0), rules).collect() == []
+    assert urls.judge(pages.limit(0), rules, literal_blocks=literal).collect() == []
     assert {r["verdict"] for r in urls.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
-def test_bloom_has_no_false_negatives(spark):
+@pytest.mark.parametrize("literal", [1 << 17, 0])
+def test_bloom_has_no_false_negatives(spark, literal):
     listed = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".net")).alias("rule_host"), F.lit("/a").alias("rule_path"), F.lit("block").alias("verdict"))
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://w.h"), F.col("id").cast("string"), F.lit(".net/ab")).alias("url"))
-    got = urls.judge(pages, listed).groupBy("verdict").count().collect()
+    got = urls.judge(pages, listed, literal_blocks=literal).groupBy("verdict").count().collect()
     assert {r["verdict"]: r["count"] for r in got} == {"block": 3000, "allow": 3000}
 
 
