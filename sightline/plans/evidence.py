@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,8 @@ SELECT user_id, round(arg_max(e, n), 6) AS evidence, arg_max(e, n) >= 0.35 AS pr
 def leaky_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence decays each pass and grows by the confidence of a hit."""
     d = V.detections(spark, sf_dir).withColumn("c", F.when(F.col("k") % 4 != 0, F.col("confidence")).otherwise(0.0))
-    zero = F.struct(F.lit(0.0).alias("e"), F.lit(0).cast("long").alias("n"))
-    s = fold(d, ["user_id"], ["ts", "det_id"], ["c"], zero, lambda a, r: F.struct((a["e"] * 0.85 + r["c"]).alias("e"), (a["n"] + 1).alias("n")))
-    return s.select("user_id", F.round("state.e", 6).alias("evidence"), (F.col("state.e") >= 0.35).alias("promoted"), F.col("state.n").alias("passes"))
+    s = fold(d, ["user_id"], ["ts", "det_id"], ["c"], (0.0, 0), lambda a, r: (a[0] * 0.85 + r.c, a[1] + 1), "user_id long, e double, passes long")
+    return s.select("user_id", F.round("e", 6).alias("evidence"), (F.col("e") >= 0.35).alias("promoted"), "passes")
 
 
 @query(f"""{_D}, s AS (SELECT user_id, det_id, ts, k % 4 <> 0 AS hit, sum(CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, det_id) AS island FROM detections)
@@ -45,14 +47,14 @@ def anchor_jitter_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place moves only when a sighting is over 8 from the kept place; each move
     is a revision."""
     d = V.detections(spark, sf_dir).withColumn("px", F.col("x") / 20.0).withColumn("py", F.col("y") / 20.0)
-    zero = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(0).cast("long").alias("n"))
 
     def step(a, r):
-        far = a["x"].isNull() | (F.sqrt((r["px"] - a["x"]) * (r["px"] - a["x"]) + (r["py"] - a["y"]) * (r["py"] - a["y"])) > 8)
-        return F.struct(F.when(far, r["px"]).otherwise(a["x"]).alias("x"), F.when(far, r["py"]).otherwise(a["y"]).alias("y"), (a["n"] + far.cast("long")).alias("n"))
+        x, y, n = a
+        far = n == 0 or math.sqrt((r.px - x) * (r.px - x) + (r.py - y) * (r.py - y)) > 8
+        return (r.px, r.py, n + 1) if far else a
 
-    s = fold(d, ["user_id"], ["ts", "det_id"], ["px", "py"], zero, step)
-    return s.select("user_id", F.round("state.x", 4).alias("x"), F.round("state.y", 4).alias("y"), F.col("state.n").alias("revision"))
+    s = fold(d, ["user_id"], ["ts", "det_id"], ["px", "py"], (None, None, 0), step, "user_id long, x double, y double, revision long")
+    return s.select("user_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "revision")
 
 
 @query(f"{_D}, c AS (SELECT det_id, ts, coalesce(k <> lag(k) OVER (PARTITION BY user_id ORDER BY ts, det_id), true) AS changed FROM detections) SELECT det_id, changed, CAST(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, det_id) AS BIGINT) AS revision FROM c")
@@ -63,15 +65,16 @@ def revision_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("det_id", "changed", F.sum(F.col("changed").cast("long")).over(Window.partitionBy(F.date_trunc("day", "ts")).orderBy("ts", "det_id")).alias("revision"))
 
 
-def _gap_fold(hours: int):
-    """Rows let through when ``hours`` or more have passed since the last such row."""
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.lit(0).cast("long").alias("n"))
+def _gap_fold(d: DataFrame, key: str, kind: str, hours: int) -> DataFrame:
+    """``(key, last, sent, held)``: rows let through, for each key, when ``hours`` or
+    more have passed since the last such row, and those held back."""
+    gap = datetime.timedelta(hours=hours)
 
     def step(a, r):
-        due = a["last"].isNull() | (r["ts"] >= a["last"] + F.make_dt_interval(hours=F.lit(hours)))
-        return F.struct(F.when(due, r["ts"]).otherwise(a["last"]).alias("last"), (a["n"] + due.cast("long")).alias("n"))
+        last, sent, held = a
+        return (r.ts, sent + 1, held) if last is None or r.ts >= last + gap else (last, sent, held + 1)
 
-    return zero, step
+    return fold(d, [key], ["ts", "det_id"], [], (None, 0, 0), step, f"{key} {kind}, last timestamp_ntz, sent long, held long")
 
 
 def _gap_sql(hours: int, source: str) -> str:
@@ -82,8 +85,7 @@ def _gap_sql(hours: int, source: str) -> str:
 @query(_gap_sql(6, "SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, det_id) AS n FROM detections") + " SELECT key AS user_id, arg_max(last, n) AS last, CAST(max(sent) AS BIGINT) AS passes FROM r GROUP BY key")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most one pass in six hours a source."""
-    s = fold(V.detections(spark, sf_dir), ["user_id"], ["ts", "det_id"], [], *_gap_fold(6))
-    return s.select("user_id", F.col("state.last").alias("last"), F.col("state.n").alias("passes"))
+    return _gap_fold(V.detections(spark, sf_dir), "user_id", "long", 6).select("user_id", "last", F.col("sent").alias("passes"))
 
 
 _FIRST = "SELECT cls || '/' || CAST(user_id % 10 AS VARCHAR) AS key, ts, row_number() OVER (PARTITION BY cls || '/' || CAST(user_id % 10 AS VARCHAR) ORDER BY ts, det_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, cls ORDER BY ts, det_id) AS t FROM detections WHERE evidence >= 0.5) WHERE t = 1"
@@ -94,10 +96,7 @@ def notify_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message for a promoted track, and a cooldown for its class."""
     d = V.detections(spark, sf_dir).where("evidence >= 0.5").withColumn("t", F.row_number().over(Window.partitionBy("user_id", "cls").orderBy("ts", "det_id"))).where("t = 1")
     d = d.withColumn("channel", F.concat_ws("/", "cls", (F.col("user_id") % 10).cast("string")))
-    zero, step = _gap_fold(5)
-    s = fold(d, ["channel"], ["ts", "det_id"], [], zero, step)
-    n = d.groupBy("channel").agg(F.count("*").alias("n"))
-    return s.join(n, "channel").select("channel", F.col("state.last").alias("last"), F.col("state.n").alias("sent"), (F.col("n") - F.col("state.n")).alias("held"))
+    return _gap_fold(d, "channel", "string", 5)
 
 
 @query(f"{_D}, g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, det_id) AS next_ts FROM detections) SELECT user_id, ts AS missing_from, next_ts AS back_at FROM g WHERE next_ts - ts > INTERVAL 6 HOUR")
@@ -130,9 +129,7 @@ def freshness_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_gap_sql(2, "SELECT user_id AS key, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, det_id) AS n FROM detections") + " SELECT key AS user_id, CAST(max(sent) AS BIGINT) AS computed, CAST(max(n) - max(sent) AS BIGINT) AS reused FROM r GROUP BY key")
 def cached_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value is computed anew only when the kept one is two hours old."""
-    d = V.detections(spark, sf_dir)
-    s = fold(d, ["user_id"], ["ts", "det_id"], [], *_gap_fold(2)).join(d.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
-    return s.select("user_id", F.col("state.n").alias("computed"), (F.col("n") - F.col("state.n")).alias("reused"))
+    return _gap_fold(V.detections(spark, sf_dir), "user_id", "long", 2).select("user_id", F.col("sent").alias("computed"), F.col("held").alias("reused"))
 
 
 @query(f"{_D}, c AS (SELECT det_id, user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY ts, det_id) - 1 AS cycle FROM detections) SELECT det_id, round(least(1.0, greatest(0.3, first_value(k) OVER (PARTITION BY user_id, cycle // 30 ORDER BY cycle) / 360.0::DOUBLE)), 5) AS scale FROM c")
@@ -148,14 +145,15 @@ def acuity_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT key AS user_id, CAST(max(saved) AS BIGINT) AS checkpoints FROM r GROUP BY key""")
 def checkpoint_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A checkpoint after so many observations or so long a time."""
-    zero = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.lit(0).cast("long").alias("since"), F.lit(0).cast("long").alias("saved"))
+    long_ = datetime.timedelta(hours=60)
 
     def step(a, r):
-        due = a["last"].isNotNull() & ((a["since"] + 1 >= 20) | (r["ts"] >= a["last"] + F.make_dt_interval(hours=F.lit(60))))
-        return F.struct(F.when(a["last"].isNull() | due, r["ts"]).otherwise(a["last"]).alias("last"), F.when(due, F.lit(0).cast("long")).otherwise(a["since"] + 1).alias("since"), (a["saved"] + due.cast("long")).alias("saved"))
+        last, since, saved = a
+        if last is None:
+            return r.ts, since + 1, saved
+        return (r.ts, 0, saved + 1) if since + 1 >= 20 or r.ts >= last + long_ else (last, since + 1, saved)
 
-    s = fold(V.detections(spark, sf_dir), ["user_id"], ["ts", "det_id"], [], zero, step)
-    return s.select("user_id", F.col("state.saved").alias("checkpoints"))
+    return fold(V.detections(spark, sf_dir), ["user_id"], ["ts", "det_id"], [], (None, 0, 0), step, "user_id long, last timestamp_ntz, since long, checkpoints long").select("user_id", "checkpoints")
 
 
 _E = f"{_D}, o AS (SELECT *, confidence AS objectness, CASE WHEN confidence >= 0.25 THEN cls END AS klass, x + w / 2.0::DOUBLE AS cx, y + h / 2.0::DOUBLE AS cy FROM detections)"

@@ -45,16 +45,21 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("_at", at).withColumn("fx", F.col("_at.x")).withColumn("fy", F.col("_at.y")).drop("_at")
 
 
-def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gated observations on the plan: looked up at floor level first, then placed
-    again at the height of what they stand on."""
-    gated = contacts(spark, sf_dir).where(F.col("evidence").isNull() | (F.col("evidence") >= EVIDENCE)).withColumn("kind", F.when(F.col("confidence") < SEMANTIC, "unknown").otherwise(F.col("cls")))
+def on_plan(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows ``(det_id, fx, fy, evidence, confidence, cls)`` that pass the gate: looked
+    up at floor level first, then placed again at the height of what they stand on."""
+    gated = found.where(F.col("evidence").isNull() | (F.col("evidence") >= EVIDENCE)).withColumn("kind", F.when(F.col("confidence") < SEMANTIC, "unknown").otherwise(F.col("cls")))
     first = spatial.highest_sector(gated, V.sectors(spark, sf_dir), "det_id", "fx", "fy").select("det_id", "floor_height")
     seen = gated.where(F.col("fx").isNotNull()).join(first, "det_id", "left")
     at = G.raised(G.point(F.col("fx"), F.col("fy")), F.col("floor_height"), CAMERA_HEIGHT, CAMERA)
     return seen.withColumn("_at", at).withColumn("fx", F.col("_at.x")).withColumn("fy", F.col("_at.y")).drop("_at", "floor_height")
 
 
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gated observations on the plan."""
+    return on_plan(contacts(spark, sf_dir), spark, sf_dir)
+
+
 @query(f"""{_GATED}{_RAISED}, {held('lifted', 'second')}
 SELECT second.sector_id, lifted.kind, count(*) AS n FROM lifted LEFT JOIN second USING (det_id) GROUP BY ALL""")
 def flagship_sector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -76,19 +76,26 @@ def kernel_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).repartition("camera_id").sortWithinPartitions("camera_id", "frame_id").mapInPandas(run, "frame_id long, foreground double")
 
 
+def neighbours(every: DataFrame) -> DataFrame:
+    """``(camera_id, frame_id, before, luma)``: frames with the one before of their
+    camera. Only numbers go through the window by camera; the frames are joined to
+    them and dealt to all tasks, as what follows takes long for each frame."""
+    ids = every.select("camera_id", "frame_id").withColumn("prior", F.lag("frame_id").over(Window.partitionBy("camera_id").orderBy("frame_id"))).where("prior IS NOT NULL")
+    before = every.select(F.col("frame_id").alias("prior"), F.col("luma").alias("before"))
+    parts = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.join(before, "prior").join(every.select("frame_id", "luma"), "frame_id").select("camera_id", "frame_id", "before", "luma").repartition(parts, "frame_id")
+
+
 @query()
 def kernel_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean length of the optical flow between a camera's neighbouring frames."""
-    from pyspark.sql import Window
-
-    two = frames(spark, sf_dir).withColumn("before", F.lag("luma").over(Window.partitionBy("camera_id").orderBy("frame_id"))).where("before IS NOT NULL")
 
     def run(batches):
         for b in batches:
             far = [np.hypot(*np.moveaxis(K.flow(np.asarray(p, float).reshape(-1, 8), np.asarray(v, float).reshape(-1, 8)), -1, 0)) for p, v in zip(b["before"], b["luma"], strict=True)]
             yield pd.DataFrame({"frame_id": b["frame_id"], "length": [round(float(f.mean()), 4) for f in far], "moving": [int((f > 1.5).sum()) for f in far]})
 
-    return two.select("frame_id", "before", "luma").mapInPandas(run, "frame_id long, length double, moving long")
+    return neighbours(frames(spark, sf_dir)).select("frame_id", "before", "luma").mapInPandas(run, "frame_id long, length double, moving long")
 
 
 @query()

@@ -154,10 +154,10 @@ MOTION, SAMPLES = 0.4, 30
 def artifact_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks on the lens from a camera's first thirty frames with motion, as a still
     scene would be learned too; too large a mask, or fewer such frames, is none."""
-    from .imaging import frames
+    from .imaging import frames, neighbours
 
     every = frames(spark, sf_dir)
-    two = every.withColumn("before", F.lag("luma").over(Window.partitionBy("camera_id").orderBy("frame_id"))).where("before IS NOT NULL")
+    two = neighbours(every)
 
     def moving(batches):
         for b in batches:
