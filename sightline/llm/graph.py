@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .frames import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges in a partition, at least.
+EDGES = 100_000
+
+
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """One round of large-star or small-star (Kiveris et al., 2014).
 
     The minimum of each neighbourhood is a partial aggregate, is written out and
@@ -18,13 +22,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = cut(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts))
     met = near.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return cut(out.where("u <> v").distinct().coalesce(parts))
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -41,7 +45,9 @@ def forest(edges: DataFrame) -> DataFrame:
         if not mark["n"] or (mark["n"], mark["x"]) == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = (mark["n"], mark["x"])
-        edges = cut(_star(cut(_star(edges, True)), False))
+        # Few edges are written to few files.
+        parts = 1 + mark["n"] // EDGES
+        edges = _star(_star(edges, True, parts), False, parts)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

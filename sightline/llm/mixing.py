@@ -47,7 +47,7 @@ def targets(totals: DataFrame) -> DataFrame:
     """
     placed = ranked(totals, [F.col("source").isNull(), F.col("source")], "turn")
     weight = F.element_at(F.array(*[F.lit(w) for w in WEIGHTS]), (F.col("turn") % len(WEIGHTS) + 1).cast("int"))
-    weighed = cut(placed.select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * MOST_COPIES).cast("double").alias("cap")))
+    weighed = placed.select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * MOST_COPIES).cast("double").alias("cap"))
     level, held = 0.0, -1
     while True:
         above = F.col("w") * level > F.col("cap")
@@ -162,11 +162,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     empty table gives no rows.
     """
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), *carry))
-    counted = cut(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    aims = cut(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))))
+    counted = sized.groupBy("source", "size").agg(F.count("*").alias("docs"))
+    aims = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size")))
+    n_sources = max(1, aims.count())
     same = F.col("c.source").eqNullSafe(F.col("a.source"))
     lengths = counted.alias("c").join(aims.alias("a"), same).select("c.source", "c.size", "c.docs", "a.target")
-    plan = cut(lengths.groupBy("source").applyInPandas(_plan, _PLAN))
+    plan = cut(lengths.groupBy("source").applyInPandas(_plan, _PLAN).coalesce(n_sources))
 
     # A length that many documents have is ranked in parts by the seeded hash.
     mark = F.xxhash64(F.lit(seed), "doc_id")
@@ -184,5 +185,5 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     fitted = ranked.alias("r").join(q, on).select("doc_id", "r.source", "r.size", (F.col("copies") + (F.col("r") <= F.col("quota")).cast("long")).alias("copies"), *carry)
     whole = placed.where("NOT open").select("doc_id", "source", "size", (F.col("copies") + (F.col("more") > 0).cast("long")).alias("copies"), *carry)
     taken = whole.unionByName(fitted)
-    return taken.alias("t").join(F.broadcast(aims.alias("a")) if aims.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES else aims.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies", *carry)
+    return taken.alias("t").join(F.broadcast(aims.alias("a")) if n_sources <= MAX_SOURCES else aims.alias("a"), F.col("t.source").eqNullSafe(F.col("a.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies", *carry)
 

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -160,6 +161,111 @@ def test_quality_model_repeats(spark, sf_dir):
     assert (a.table == b.table).all() and a.bias == b.bias
 
 
+def test_word_vectors_equal_a_slow_trainer():
+    """Plain loops over single buckets, one example at a time, and the softmax written out."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(40):
+        at = np.sort(rng.choice(30, 6, replace=False)) + 10 * (k % 2)
+        share = rng.random(6).astype(np.float32)
+        rows.append((at.astype(np.uint16), share / share.sum(), k % 2))
+    model = quality.train(rows)
+    random_ = np.random.default_rng(quality.SEED)
+    d = quality.DIMENSIONS
+    vectors = (random_.uniform(-1, 1, (quality.BUCKETS, d)).astype(np.float32) / d).astype(float)
+    out = (random_.uniform(-1, 1, (d, 2)) / d).astype(np.float32).astype(float)
+    moved, moved_out = np.full(quality.BUCKETS, 1e-8), np.full((d, 2), 1e-8)
+    bias = [math.log(0.5)] * 2
+    for _ in range(quality.EPOCHS):
+        for i in random_.permutation(len(rows)):
+            at, share, y = rows[i]
+            hidden = [sum(float(s) * vectors[b][j] for b, s in zip(at, share, strict=True)) for j in range(d)]
+            logits = [sum(hidden[j] * out[j][c] for j in range(d)) + bias[c] for c in (0, 1)]
+            top = max(logits)
+            p = [math.exp(x - top) / sum(math.exp(z - top) for z in logits) for x in logits]
+            gap = [p[c] - (c == y) for c in (0, 1)]
+            back = [sum(out[j][c] * gap[c] for c in (0, 1)) for j in range(d)]
+            for j in range(d):
+                for c in (0, 1):
+                    moved_out[j][c] += (hidden[j] * gap[c]) ** 2
+                    out[j][c] -= quality.RATE * hidden[j] * gap[c] / math.sqrt(moved_out[j][c])
+            for b, s in zip(at, share, strict=True):
+                moved[b] += float(s) ** 2 * sum(x * x for x in back)
+                for j in range(d):
+                    vectors[b][j] -= quality.RATE * float(s) / math.sqrt(moved[b]) * back[j]
+    assert np.allclose(model.table, vectors @ (out[:, 1] - out[:, 0]), atol=2e-3)
+
+
+def slow_toxic_features(text, words_, stems):
+    own = re.sub("[\x00-@\\[-`{-\x7f]", " ", text).lower().split()
+    taught = [i for i, w in enumerate(own) if w in words_]
+    begun = [i for i, w in enumerate(own) if any(w.startswith(x) for x in stems)]
+    fixed = [i for i, w in enumerate(own) if w in toxicity.INSULTS]
+    you = [i for i, w in enumerate(own) if w in toxicity.SECOND_PERSON]
+    insults = {*fixed, *taught, *begun}
+    n = max(1, len(own))
+    near = sum(any(abs(i - j) <= 5 for j in insults) for i in you)
+    return [len(fixed), 100 * len(fixed) / n, len(taught), 100 * len(taught) / n, len(begun), 100 * len(begun) / n, len({own[i] for i in insults}), 100 * len(you) / n, near]
+
+
+def test_toxic_features_equal_plain_counts():
+    rng = random.Random(13)
+    vocabulary = ["you", "idiot", "Your", "trash", "fine", "day", "vilx", "vilya", "blamer", "ça", "tu", "x!"]
+    for _ in range(200):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))
+        got = toxicity.features(text.encode(), toxicity.Lexicon(["vilx", "blam*"]))
+        assert [*got[:7], *got[10:12]] == pytest.approx(slow_toxic_features(text, {"vilx"}, {"blam"}))
+
+
+def test_toxic_features_of_very_long_texts_take_linear_time():
+    import time
+
+    spent = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        got = toxicity.features(b"you idiot " * n, toxicity.Lexicon([]))
+        spent.append(time.process_time() - began)
+        assert got[11] == n
+    assert spent[1] < 20 * max(spent[0], 0.02)
+
+
+def slow_split(x, y, first):
+    """The best first split of boosted trees, over all features and bin edges."""
+    p = np.full(len(y), 1 / (1 + math.exp(-first)))
+    g, h = p - y, p * (1 - p)
+    best = (1e-6, None, None)
+    for f in range(x.shape[1]):
+        for e in np.unique(np.quantile(x[:, f], np.linspace(0, 1, toxicity.BINS + 1)[1:-1])):
+            low = x[:, f] <= e
+            if min(h[low].sum(), h[~low].sum()) < toxicity.LEAST / 10:
+                continue
+            gain = g[low].sum() ** 2 / (h[low].sum() + 1) + g[~low].sum() ** 2 / (h[~low].sum() + 1) - g.sum() ** 2 / (h.sum() + 1)
+            if gain > best[0] + 1e-12:
+                best = (gain, f, e)
+    return best[1:]
+
+
+def test_first_split_is_the_best_of_all():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        x = rng.random((300, 4))
+        y = (x[:, seed % 4] + 0.3 * rng.random(300) > 0.7).astype(float)
+        feature, bound, _ = toxicity.boost(x, y).trees[0]
+        assert (feature[0], bound[0]) == slow_split(x, y, math.log(y.mean() / (1 - y.mean())))
+
+
+def test_folds_have_lexicons_of_their_own(spark):
+    """A word that only fold 0 has is in no lexicon without that fold."""
+    rows = [(f"only{f} word{i}", 1, f) for f in range(4) for i in range(40)] + [(f"plain good {i}", 0, i % 4) for i in range(400)]
+    everyone, *without = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, y int, fold int"))
+    assert {"only", "word"} <= everyone.words
+    for lexicon in without:
+        assert {"only", "word"} <= lexicon.words
+    marked = [("secretzero", 1, 0)] * 30 + [("bland", 1, k) for k in (1, 2, 3) for _ in range(30)] + rows[160:]
+    everyone, *without = toxicity.learn_lexicons(spark.createDataFrame(marked, "text string, y int, fold int"))
+    assert "secretzero" in everyone.words and "secretzero" not in without[0].words and all("secretzero" in x.words for x in without[1:])
+
+
 def test_boosted_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3))
@@ -462,6 +568,89 @@ def test_broken_pages(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+class Slow(HTMLParser):
+    """The text of the article element, for pages that have one and no boxes in it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.now, self.out = False, False, "", []
+
+    def cut(self):
+        if self.now.split():
+            self.out.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("article", "p", "h1", "ul", "li", "nav", "footer", "div"):
+            self.cut()
+        self.now += " " * (tag == "br")
+        self.inside |= tag == "article"
+        self.raw |= tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "ul", "li", "nav", "footer", "div"):
+            self.cut()
+        self.inside &= tag != "article"
+        self.raw &= tag not in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.now += data
+
+
+def test_main_text_equals_a_plain_parser_on_all_pages(spark):
+    """And the cut has its say: it turns blocks that their text alone misjudges."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    blocks = turned = 0
+    for r in pages.collect():
+        slow = Slow()
+        slow.feed(r["html"])
+        assert got[r["page_id"]] == "\n".join(slow.out)
+        found, holders = htmltext.blocks(r["html"])
+        kept = htmltext.min_cut(*htmltext.graph(found, holders))
+        blocks += len(found)
+        turned += sum((own > 0) != keep for (_, own, _), keep in zip(found, kept, strict=False))
+    assert turned > 0.1 * blocks
+
+
+def cut_cost(own, edges, side):
+    return sum(o if o > 0 and not s else -o if o < 0 and s else 0 for o, s in zip(own, side, strict=True)) + sum(w for a, b, w in edges if side[a] != side[b])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>Head</h1><p>Ok.</p><p><a href=x>link</a></p><div class=ad>Buy now and be happy ever after.</div></article>",
+        "<div><p>Long sentences make up the text of a page, and more of it.</p><p>Hm</p><p><a href=x>One more</a></p></div><div><a href=a>A</a></div>",
+        "<nav><ul><li><a href=a>A</a><li>B</ul></nav><div class=content><h2>T</h2><p>x</p></div><footer>f, f and f.</footer>",
+    ],
+)
+def test_the_cut_of_a_page_is_minimal(page):
+    own, edges = htmltext.graph(*htmltext.blocks(page))
+    assert len(own) <= 14
+    least = min(cut_cost(own, edges, [bool(m >> i & 1) for i in range(len(own))]) for m in range(1 << len(own)))
+    assert cut_cost(own, edges, htmltext.min_cut(own, edges)) == pytest.approx(least, abs=0.02)
+
+
+def test_blocks_settle_a_plain_container_among_themselves():
+    long = "<p>" + "Long sentences make up the text of a page, one after another. " * 4 + "</p>"
+    assert htmltext.main_text(f"<div>{long}<p>Hm</p>{long}</div>").split("\n")[1] == "Hm"
+    assert htmltext.main_text("<div>" + "<p><a href=x>Go there</a></p>" * 5 + "</div>") == ""
+
+
+def test_large_pages_take_no_more_than_linear_time():
+    import time
+
+    page = "<div>" + "<p>" + "Some words in a row, and more. " * 5 + "</p><p><a href=x>x</a></p>"
+    spent = []
+    for n in (500, 4000):
+        began = time.process_time()
+        htmltext.main_text(page + "<p>Some words in a row, and more of them here.</p><p><a href=x>x</a></p>" * n + "</div>")
+        spent.append(time.process_time() - began)
+    assert spent[1] < 40 * max(spent[0], 0.05)
+
+
 def test_min_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(150):
@@ -718,12 +907,66 @@ def test_pipeline(spark, sf_dir):
 
 
 def test_pipeline_stages_on_hard_rows(spark, sf_dir):
+    """Null and repeated ids, empty and long texts, rows alike, extra columns."""
+    import corpus_pipeline as P
+
+    texts = [*HARD, *HARD]
+    hard = frame(spark, texts, [*range(len(HARD) - 1), None, *range(len(HARD) - 1), None])
+    assert P.source_mix(spark, hard.limit(0), sf_dir).collect() == [] and P.encode(spark, hard.limit(0), sf_dir).collect() == []
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(hard, labels)
+    kept = [t for t in texts if model.score((t or "").encode()) >= quality.THRESHOLD]
+    assert sorted(str(r["text"]) for r in P.quality_filter(spark, hard, sf_dir).collect()) == sorted(map(str, kept))
+
+    single = P.near_dedup(spark, hard, sf_dir).collect()
+    groups = slow_components(list(range(len(texts))), [slow_fingerprint(t) for t in texts])
+    assert len(single) == len(set(groups))
+    assert len({groups[texts.index(r["text"])] for r in single}) == len(single)
+
+    clean = P.secret_scan(spark, hard, sf_dir).collect()
+    assert sorted(str(r["text"]) for r in clean) == sorted("None" if t is None else secrets.redact(t) for t in texts)
+    assert all(r["n_chars"] == len(r["text"]) for r in clean if r["text"] is not None)
+
+    assert sorted(r["n_tokens"] for r in P.encode(spark, hard, sf_dir).collect()) == sorted(len(bpe.coder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN).encode(t or "")) for t in texts)
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
+    """Every stage replayed by plain loops over the rows that the one before kept."""
     import corpus_pipeline as P
 
-    hard = frame(spark, HARD, [*range(len(HARD) - 1), None])
-    for _, stage in P.STAGES:
-        assert stage(spark, hard, sf_dir).count() >= 0
-        assert stage(spark, hard.limit(0), sf_dir).count() == 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    left = sorted(i for i, r in rows.items() if model.score((r["text"] or "").encode()) >= quality.THRESHOLD)
+    root = slow_components(left, [slow_fingerprint(rows[i]["text"]) for i in left])
+    left = [i for i, c in zip(left, root, strict=True) if i == c]
+    texts = {i: secrets.redact(rows[i]["text"] or "") for i in left}
+    for i, t in texts.items():
+        assert slow_base(rows[i]["text"]) == "" or t != rows[i]["text"]
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    totals = {}
+    for i in left:
+        totals[rows[i]["source"]] = totals.get(rows[i]["source"], 0) + sizes[i]
+    want = slow_targets(totals)
+    got = P.run(spark, sf_dir).collect()
+    coder_ = bpe.coder(public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    taken, times = {}, {}
+    for r in got:
+        i = r["doc_id"]
+        times[i] = times.get(i, 0) + 1
+        taken[rows[i]["source"]] = taken.get(rows[i]["source"], 0) + sizes[i]
+        assert r["decoded_sha256"] == hashlib.sha256(texts[i].encode()).hexdigest() and r["n_tokens"] == len(coder_.encode(texts[i]))
+    assert set(times) <= set(left) and max(times.values()) <= 3
+    for s, t in want.items():
+        own = [n for i, n in sizes.items() if rows[i]["source"] == s]
+        base = min(3, int(t // totals[s])) if totals[s] else 0
+        budget, sums = round(t - base * totals[s]), 1
+        for n in own:
+            sums |= sums << n
+        best = (sums & (1 << budget + 1) - 1).bit_length() - 1 if base < 3 else 0
+        assert taken.get(s, 0) == base * totals[s] + best
 
 
 def test_source_mix_takes_rows_as_the_mix_does(spark, sf_dir):
