@@ -79,3 +79,10 @@ def escaped(text: Column) -> Column:
 
 def plural(n: Column, one: str, many: str) -> Column:
     return F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {many}"))
+
+
+def identity(sources: list[Column], defaults: tuple[str, str, str]) -> Column:
+    """``struct(product, short, link)``: the first of ``sources`` that is there; its
+    lines without blank ones, in order; a missing line has its default."""
+    lines = F.filter(F.transform(F.split(F.coalesce(*sources), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(*[F.coalesce(F.get(lines, F.lit(k)), F.lit(d)).alias(name) for k, (name, d) in enumerate(zip(("product", "short", "link"), defaults, strict=True))])

@@ -51,19 +51,32 @@ def mark_valid(s: DataFrame, sd: float = 1.0, mean: float = 40.0, reach: int = 2
     return s.join(around, ["camera_id", "px", "py"], "left").withColumn("valid", F.col("_dead").isNull()).drop("_dead")
 
 
-_STEP = "d AS (SELECT camera_id, px, abs(luma - lag(luma) OVER (PARTITION BY frame_id, py ORDER BY px)) AS step FROM pixels)"
+@query(f"""{_P}, d AS (SELECT camera_id, 'column' AS axis, px - 1 AS line, abs(luma - lag(luma) OVER (PARTITION BY frame_id, py ORDER BY px)) AS step FROM pixels
+  UNION ALL SELECT camera_id, 'row', py - 1, abs(luma - lag(luma) OVER (PARTITION BY frame_id, px ORDER BY py)) FROM pixels), c AS (SELECT camera_id, axis, line, avg(step) AS m FROM d WHERE step IS NOT NULL GROUP BY ALL),
+f AS (SELECT camera_id, axis, line % 8 AS phase, avg(m) AS m FROM c GROUP BY ALL), s AS (SELECT camera_id, axis, arg_max(phase, (m, -phase)) AS top, max(m) / median(m) AS excess, median(m) AS middle FROM f GROUP BY ALL)
+SELECT camera_id, axis, CAST(phase AS INTEGER) AS phase, phase = top AS peak, round(excess, 5) AS excess, CASE WHEN excess >= 1.5 THEN round(least(1.0, greatest(0.05, middle / m)), 5) END AS weight FROM f JOIN s USING (camera_id, axis)""")
+def grid_phase_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which phases of a codec's grid of eight have the steps, on both axes, and how
+    much evidence each phase still gives; no weight where there is no grid."""
+    return grid_prior(V.pixels(spark, sf_dir))
 
 
-@query(f"""{_P}, {_STEP}, c AS (SELECT camera_id, px, avg(step) AS m FROM d WHERE px > 0 GROUP BY camera_id, px), f AS (SELECT camera_id, px % 4 AS phase, avg(m) AS m FROM c GROUP BY ALL)
-SELECT camera_id, CAST(arg_max(phase, (m, -phase)) AS INTEGER) AS phase, round(max(m) / median(m), 5) AS excess, CASE WHEN max(m) / median(m) >= 1.5 THEN 'grid' ELSE 'none' END AS verdict, round(least(1.0, greatest(0.05, median(m) / max(m))), 5) AS weight FROM f GROUP BY camera_id""")
-def grid_phase_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which column phase has the steps of a codec's grid, and by how much."""
-    px = V.pixels(spark, sf_dir)
-    step = F.abs(F.col("luma") - F.lag("luma").over(Window.partitionBy("frame_id", "py").orderBy("px")))
-    c = px.withColumn("step", step).where("px > 0").groupBy("camera_id", "px").agg(F.avg("step").alias("m"))
-    f = c.groupBy("camera_id", (F.col("px") % 4).alias("phase")).agg(F.avg("m").alias("m"))
-    top, mid = F.max("m"), F.median("m")
-    return f.groupBy("camera_id").agg(F.max_by("phase", F.struct(F.col("m"), -F.col("phase"))).cast("int").alias("phase"), F.round(top / mid, 5).alias("excess"), F.when(top / mid >= 1.5, "grid").otherwise("none").alias("verdict"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), mid / top)), 5).alias("weight"))
+def grid_prior(px: DataFrame, period: int = 8, least: float = 1.5) -> DataFrame:
+    """``(camera_id, axis, phase, peak, excess, weight)``. A line's step is that to
+    the next line; lines of one phase are averaged; the peak is the first greatest
+    phase, its excess that over the median phase."""
+
+    def lines(axis: str, across: str, name: str) -> DataFrame:
+        step = F.abs(F.col("luma") - F.lag("luma").over(Window.partitionBy("frame_id", across).orderBy(axis)))
+        return px.select("camera_id", F.lit(name).alias("axis"), (F.col(axis) - 1).alias("line"), step.alias("step"))
+
+    both = lines("px", "py", "column").unionByName(lines("py", "px", "row")).where("step IS NOT NULL")
+    by_line = both.groupBy("camera_id", "axis", "line").agg(F.avg("step").alias("m"))
+    f = by_line.groupBy("camera_id", "axis", (F.col("line") % period).cast("int").alias("phase")).agg(F.avg("m").alias("m"))
+    s = f.groupBy("camera_id", "axis").agg(F.max_by("phase", F.struct(F.col("m"), -F.col("phase"))).alias("top"), F.median("m").alias("middle"), F.max("m").alias("most"))
+    excess = F.col("most") / F.col("middle")
+    weight = F.when(excess >= least, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("middle") / F.col("m"))), 5))
+    return f.join(s, ["camera_id", "axis"]).select("camera_id", "axis", "phase", (F.col("phase") == F.col("top")).alias("peak"), F.round(excess, 5).alias("excess"), weight.alias("weight"))
 
 
 @query(f"{_P} SELECT frame_id, p, CAST(trunc(luma * (1 - 0.6::DOUBLE * (1 - CASE px % 4 WHEN 3 THEN 0.4::DOUBLE ELSE 1 END)) * (1 - 0.6::DOUBLE * (1 - CASE py % 4 WHEN 3 THEN 0.5::DOUBLE ELSE 1 END))) AS INTEGER) AS luma FROM pixels")
@@ -306,6 +319,13 @@ def stable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(q, "camera_id").where("stability > bound").select("camera_id", "p", F.round("stability", 5).alias("stability"), (F.col("py") >= 8 * 0.55).alias("low_band"))
 
 
+@query(f"{_P} SELECT frame_id, p, CASE WHEN frame_id % 5 = 0 THEN 0 ELSE luma END AS luma FROM pixels")
+def hidden_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Black takes the place of hidden frames, here every fifth; nothing of the
+    picture goes into it."""
+    return V.pixels(spark, sf_dir).select("frame_id", "p", F.when(F.col("frame_id") % 5 == 0, F.lit(0)).otherwise(F.col("luma")).alias("luma"))
+
+
 @query("SELECT vec_id AS frame_id FROM embeddings WHERE vec_id % 3 = 0")
 def stride_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("frame_id"))
