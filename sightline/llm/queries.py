@@ -23,48 +23,71 @@ URL_RULES = [
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents. Null and empty texts: fingerprint zero;
+    repeated rows each return; an empty table gives no rows."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents. A null text is scored as an empty one; a null
+    doc_id is never held out; without usable labels every score is 0.5; an empty table
+    gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls. A null url has empty host and path and the default verdict;
+    an empty table gives no rows."""
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + " AS r(rule_host, rule_path, verdict)")
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def op4_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts. Null text: empty; one row
+    alone follows itself; an empty table gives no rows."""
     return sketch.edit_check(table(spark, sf_dir, "documents"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents. Null and empty texts have none; repeated rows each
+    return; an empty table gives no rows."""
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. Null, empty and broken pages: what text there is, or an
+    empty one; repeated rows each return; an empty table gives no rows."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of all documents. Null text: size 0 and nothing taken; a
+    null source is one of its own, last; rows alike are interchangeable; an empty table
+    gives no rows."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for those asked. Null vectors, null ids and vectors with
+    null or non-finite components take no part; no candidates: no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents. A null text is scored as an empty one; a null
+    doc_id is never held out; without usable labels every score is 0.5; an empty table
+    gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents and what they decode to. Null and empty texts have none;
+    repeated rows each return; an empty table gives no rows."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 

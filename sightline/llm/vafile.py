@@ -8,7 +8,7 @@ fixes, half the cells' widths times the sizes of its components.
 
 Queries go to all tasks in blocks of a checked size. A task scans its part of the
 file once for each block and keeps, for each query, the vectors whose upper bound is
-not below the k-th best lower bound that it has seen. Of what the tasks kept, the
+not below the k-th best lower bound that it, or a small sample before, has seen. Of what the tasks kept, the
 vectors that pass the k-th best lower bound of all are joined to their exact
 components, which move for them alone, and are read in the order of their bounds
 until the k-th best score is above what any vector not yet read can reach.
@@ -30,6 +30,8 @@ CELLS = 256
 QUERY_BLOCK, BLOCK_BYTES = 4096, 1 << 25
 #: Queries answered together by one task.
 ANSWERED = 256
+#: Vectors, about so many, whose cells set a first bar for all tasks.
+SAMPLE = 1 << 13
 #: Candidates that a task holds before it drops those that have fallen behind.
 HELD = 1 << 21
 #: Sizes of scaled components up to which products of floats are safe.
@@ -130,8 +132,9 @@ def _coded(cells: dict[int, Cells]):
 class Scan:
     """The candidates of one block of queries of one length, over a part of the file."""
 
-    def __init__(self, cells: Cells, queries: np.ndarray, k: int):
+    def __init__(self, cells: Cells, queries: np.ndarray, k: int, bar: np.ndarray | None = None):
         self.cells, self.queries, self.k = cells, queries, k
+        self.bar = np.full(len(queries), -np.inf) if bar is None else bar
         self.reach = cells.reach(queries)
         self.top = np.full((len(queries), k), -np.inf)
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -151,7 +154,7 @@ class Scan:
         """Middles below this can't be among the best: their upper bound is below
         the k-th best lower bound. (Infinite reach: none is.)"""
         with np.errstate(invalid="ignore"):
-            return np.where(np.isfinite(self.reach), self.top.min(axis=1) - 2 * self.reach, -np.inf)
+            return np.where(np.isfinite(self.reach), np.maximum(self.top.min(axis=1), self.bar) - 2 * self.reach, -np.inf)
 
     def drop(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q, row, middle = (np.concatenate(x) if self.kept else np.zeros(0) for x in (zip(*self.kept, strict=True) if self.kept else [()] * 3))
@@ -163,11 +166,11 @@ class Scan:
 
 def _scan(sent, k: int):
     """Over a part of the approximation file; ``sent`` has the cells and, for each
-    length, numbers and components of the block's queries."""
+    length, numbers and components of the block's queries and their first bars."""
 
     def run(batches):
-        cells, block = sent.value
-        scans = {dim: Scan(cells[dim], queries, k) for dim, (_, queries) in block.items()}
+        cells, block, bars = sent.value
+        scans = {dim: Scan(cells[dim], queries, k, bars.get(dim)) for dim, (_, queries) in block.items()}
         for whole_batch in batches:
             for low in range(0, whole_batch.num_rows, 1024):
                 batch = whole_batch.slice(low, 1024)
@@ -185,6 +188,17 @@ def _scan(sent, k: int):
     return run
 
 
+def _bars(cells: dict[int, Cells], block: dict, sample: list[tuple[int, bytes]], k: int) -> dict[int, np.ndarray]:
+    """For each query the k-th best middle of a sample of the file: that of all is no
+    lower."""
+    bars = {}
+    for dim, (_, queries) in block.items():
+        codes = np.frombuffer(b"".join(code for d, code in sample if d == dim), np.uint8).reshape(-1, dim) if dim else np.zeros((0, 0), np.uint8)
+        if len(codes) >= k:
+            bars[dim] = np.sort(np.nan_to_num(cells[dim].middles(queries, codes), nan=0.0), axis=1)[:, -k]
+    return bars
+
+
 def best(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, upper: np.ndarray, k: int) -> tuple[list[int], list[int], int]:
     """Places and scores of the k best, ties to the smaller id, and how many vectors
     were read: in the order of their upper bounds, in growing pieces."""
@@ -259,9 +273,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     cells = learn_cells(exact)
     file = cut(arrow_map(exact, {"row": F.col("row"), "dim": F.col("dim"), "v": F.col("v")}, _coded(cells), "row long, dim int, code binary"))
 
+    every = file.count() // SAMPLE + 1
+    sample = [(r["dim"], bytes(r["code"])) for r in file.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).limit(2 * SAMPLE).toLocalIterator()]
     spark, found = vectors.sparkSession, None
     for block in _blocks(asked, cells):
-        sent = spark.sparkContext.broadcast((cells, block))
+        sent = spark.sparkContext.broadcast((cells, block, _bars(cells, block, sample, k + 1)))
         kept = cut(file.mapInArrow(_scan(sent, k + 1), "q long, row long, middle double, reach double"))
         sent.destroy()
         found = kept if found is None else found.unionByName(kept)
