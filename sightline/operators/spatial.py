@@ -39,12 +39,29 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, p
     return near.where(within & G.inside(F.col(x), F.col(y), F.col(polygon))).drop("_cx", "_cy", "_x0", "_y0", "_x1", "_y1")
 
 
+def with_sector(points: DataFrame, sectors: DataFrame, x: str, y: str, cell: float = 50.0) -> DataFrame:
+    """``points`` with ``sector_id`` and ``floor_height`` of the highest sector that
+    holds the point, of equal ones the first; both null where none does.
+
+    A cell has an array of the few sectors that touch it, so that each point meets
+    one row: one equi-join, and neither an aggregate nor a join back.
+    """
+    xs, ys = F.transform("polygon", lambda v: v["x"]), F.transform("polygon", lambda v: v["y"])
+    bounds = sectors.select("sector_id", "floor_height", "polygon", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    cells = to_cells(bounds, *map(F.col, ("x0", "y0", "x1", "y1")), cell)
+    listed = F.struct("floor_height", (-F.col("sector_id")).alias("turn"), "sector_id", "polygon", "x0", "y0", "x1", "y1")
+    by_cell = cells.groupBy("_cx", "_cy").agg(F.collect_list(listed).alias("_near"))
+    px, py = F.col(x), F.col(y)
+    # The bounds go before the polygon's rule, which takes longer.
+    held = F.filter("_near", lambda s: px.between(s["x0"], s["x1"]) & py.between(s["y0"], s["y1"]) & G.inside(px, py, s["polygon"]))
+    best = F.array_max(F.transform(held, lambda s: F.struct(s["floor_height"].alias("floor_height"), s["turn"].alias("turn"), s["sector_id"].alias("sector_id"))))
+    met = points.withColumns({"_cx": F.floor(px / cell), "_cy": F.floor(py / cell)}).join(by_cell, ["_cx", "_cy"], "left").withColumn("_s", best)
+    return met.select(*[F.col(c) for c in points.columns], "_s.sector_id", "_s.floor_height")
+
+
 def highest_sector(points: DataFrame, sectors: DataFrame, key: str, x: str, y: str, cell: float = 50.0) -> DataFrame:
-    """``(key, sector_id, floor_height)``: of the sectors that hold the point the
-    highest, of equal ones the first; points in none are absent."""
-    held = points_in_polygons(points.select(key, x, y), sectors.select("sector_id", "polygon", "floor_height"), x, y, cell=cell)
-    rank = F.struct(F.col("floor_height"), -F.col("sector_id"))
-    return held.groupBy(key).agg(F.max_by(F.struct("sector_id", "floor_height"), rank).alias("_s")).select(key, "_s.sector_id", "_s.floor_height")
+    """``(key, sector_id, floor_height)`` of the points that some sector holds."""
+    return with_sector(points.select(key, x, y), sectors, x, y, cell).where("sector_id IS NOT NULL").select(key, "sector_id", "floor_height")
 
 
 def overlapping(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str], on: list[str] | None = None, cell: float = 200.0) -> DataFrame:

@@ -49,8 +49,7 @@ def on_plan(found: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows ``(det_id, fx, fy, evidence, confidence, cls)`` that pass the gate: looked
     up at floor level first, then placed again at the height of what they stand on."""
     gated = found.where(F.col("evidence").isNull() | (F.col("evidence") >= EVIDENCE)).withColumn("kind", F.when(F.col("confidence") < SEMANTIC, "unknown").otherwise(F.col("cls")))
-    first = spatial.highest_sector(gated, V.sectors(spark, sf_dir), "det_id", "fx", "fy").select("det_id", "floor_height")
-    seen = gated.where(F.col("fx").isNotNull()).join(first, "det_id", "left")
+    seen = spatial.with_sector(gated.where(F.col("fx").isNotNull()), V.sectors(spark, sf_dir), "fx", "fy").drop("sector_id")
     at = G.raised(G.point(F.col("fx"), F.col("fy")), F.col("floor_height"), CAMERA_HEIGHT, CAMERA)
     return seen.withColumn("_at", at).withColumn("fx", F.col("_at.x")).withColumn("fy", F.col("_at.y")).drop("_at", "floor_height")
 
@@ -64,16 +63,12 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT second.sector_id, lifted.kind, count(*) AS n FROM lifted LEFT JOIN second USING (det_id) GROUP BY ALL""")
 def flagship_sector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, demote, contact point, projection, height, sector, counts."""
-    seen = observed(spark, sf_dir)
-    second = spatial.highest_sector(seen, V.sectors(spark, sf_dir), "det_id", "fx", "fy").select("det_id", "sector_id")
-    return seen.join(second, "det_id", "left").groupBy("sector_id", "kind").agg(F.count("*").alias("n"))
+    return spatial.with_sector(observed(spark, sf_dir), V.sectors(spark, sf_dir), "fx", "fy").groupBy("sector_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"{BASE}, {held('contacts', 'top')} SELECT det_id, round(fx, 4) AS fx, round(fy, 4) AS fy, sector_id, floor_height FROM contacts LEFT JOIN top USING (det_id)")
 def sector_at_highest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = contacts(spark, sf_dir)
-    top = spatial.highest_sector(at, V.sectors(spark, sf_dir), "det_id", "fx", "fy")
-    return at.join(top, "det_id", "left").select("det_id", F.round("fx", 4).alias("fx"), F.round("fy", 4).alias("fy"), "sector_id", "floor_height")
+    return spatial.with_sector(contacts(spark, sf_dir), V.sectors(spark, sf_dir), "fx", "fy").select("det_id", F.round("fx", 4).alias("fx"), F.round("fy", 4).alias("fy"), "sector_id", "floor_height")
 
 
 @query(f"""{BASE}, inside AS (SELECT p.det_id, e.sector_id FROM contacts p JOIN edges e ON (e.ay > p.fy) <> (e.by_ > p.fy) AND p.fx < (e.bx - e.ax) * (p.fy - e.ay) / (e.by_ - e.ay) + e.ax GROUP BY ALL HAVING count(*) % 2 = 1)
