@@ -91,7 +91,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_urls, op4_sketch, op5_secrets, op6_main_text, op7_mixing, op8_top_k, op9_toxicity, op10_bpe)}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 4: sizes and digests of the edited texts."""
+    return op4_sketch(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 5: the base spans, counted and as a digest."""
+    return op5_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 7: sizes and targets."""
+    return op7_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+QUERIES = {f.__name__: f for f in (edited_texts, secret_base, mix_targets, op1_simhash, op2_quality, op3_urls, op4_sketch, op5_secrets, op6_main_text, op7_mixing, op8_top_k, op9_toxicity, op10_bpe)}
 
 _OP3 = f"""
 WITH parts AS (
@@ -121,4 +136,38 @@ WITH sound AS MATERIALIZED (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op3_urls": _OP3, "op8_top_k": _OP8}
+_EDITED = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), n AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM t)
+SELECT doc_id, n AS n_chars, sha256(left(text, n - n // 4) || left(following, n // 4)) AS edited_sha256 FROM n
+"""
+
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else "_?" for c in w) for w in ("password", "passwd", "secret", "token", "api_key"))
+
+
+def _spans(kind: str, turn: int, pattern: str, group: int, least: int) -> str:
+    """SQL: the matches of a pattern with where they start, from the gaps between."""
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {turn} AS turn, '{kind}' AS kind, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS low, length(found[i]) AS size
+FROM (SELECT doc_id, gaps, found, parts, unnest(range(1, len(found) + 1)) AS i FROM (
+  SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found, regexp_extract_all(text, '{pattern}', {group}) AS parts FROM t)) WHERE length(parts[i]) >= {least}"""
+
+
+_SECRETS = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS (
+{_spans("assign", 0, rf"(?:{_EITHER})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6)}
+UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 24)}
+), d AS (SELECT doc_id, count(*) FILTER (turn = 0) AS a, count(*) FILTER (turn = 1) AS b, count(*) FILTER (turn = 2) AS c, string_agg(kind || ':' || low || ':' || (low + size), ',' ORDER BY low, turn) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN d USING (doc_id)
+"""
+
+_TARGETS = r"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+), totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), weighed AS (SELECT *, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM totals
+), level AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+), aims AS (SELECT source, source_size, least(cap, w * (SELECT max(x) FROM level WHERE x * w <= cap)) AS target FROM level)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source
+"""
+
+ORACLE_SQL = {"op3_urls": _OP3, "op8_top_k": _OP8, "edited_texts": _EDITED, "secret_base": _SECRETS, "mix_targets": _TARGETS}

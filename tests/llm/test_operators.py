@@ -871,7 +871,7 @@ def test_cache_generations(monkeypatch, coder, reference):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     db = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = db.sql(ORACLE_SQL[name])
     columns = want.columns
