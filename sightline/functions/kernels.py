@@ -100,13 +100,14 @@ class Mixture:
 
 def flow(before, after, window: float = 2.0, steps: int = 5) -> np.ndarray:
     """Dense optical flow (Lucas and Kanade over a Gaussian window, iterated):
-    (height, width, 2) displacements x, y."""
+    (height, width, 2) displacements x, y; of stacks (height, width, n), with the
+    frames along the last axis, (height, width, n, 2)."""
     a, b = gaussian(before, 1.0), gaussian(after, 1.0)
-    gy, gx = np.gradient(a)
+    gy, gx = np.gradient(a, axis=(0, 1))
     xx, xy, yy = (gaussian(p, window) for p in (gx * gx, gx * gy, gy * gy))
     det = xx * yy - xy * xy + 1e-3 * (xx + yy) + 1e-6
     u = np.zeros((*a.shape, 2))
-    ys, xs = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+    ys, xs = (g.reshape(*g.shape, *[1] * (a.ndim - 2)) for g in np.mgrid[: a.shape[0], : a.shape[1]].astype(float))
     for _ in range(steps):
         d = bilinear(b, xs + u[..., 0], ys + u[..., 1]) - a
         bx, by = gaussian(gx * d, window), gaussian(gy * d, window)
@@ -116,12 +117,18 @@ def flow(before, after, window: float = 2.0, steps: int = 5) -> np.ndarray:
 
 
 def bilinear(image, x, y) -> np.ndarray:
-    h, w = image.shape
+    """Values at places between pixels; of a stack, places in each of its frames."""
+    h, w = image.shape[:2]
+    own = (np.arange(image.shape[2]),) if image.ndim > 2 else ()
     x, y = np.clip(x, 0, w - 1), np.clip(y, 0, h - 1)
     x0, y0 = np.minimum(x.astype(int), w - 2 if w > 1 else 0), np.minimum(y.astype(int), h - 2 if h > 1 else 0)
     fx, fy = x - x0, y - y0
     x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
-    return (1 - fy) * ((1 - fx) * image[y0, x0] + fx * image[y0, x1]) + fy * ((1 - fx) * image[y1, x0] + fx * image[y1, x1])
+
+    def of(ys, xs):
+        return image[(ys, xs, *own)]
+
+    return (1 - fy) * ((1 - fx) * of(y0, x0) + fx * of(y0, x1)) + fy * ((1 - fx) * of(y1, x0) + fx * of(y1, x1))
 
 
 def bilateral(image, radius: int = 2, space: float = 9.0, tone: float = 40.0) -> np.ndarray:

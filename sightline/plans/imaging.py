@@ -86,13 +86,22 @@ def neighbours(every: DataFrame) -> DataFrame:
     return ids.join(before, "prior").join(every.select("frame_id", "luma"), "frame_id").select("camera_id", "frame_id", "before", "luma").repartition(parts, "frame_id")
 
 
+def flow_lengths(b: pd.DataFrame) -> list[np.ndarray]:
+    """Length of the flow from ``before`` to ``luma`` at each pixel of each row, all
+    frames of a batch at once."""
+    if not len(b):
+        return []
+    stacks = [np.stack([np.asarray(v, float).reshape(-1, 8) for v in b[c]], axis=-1) for c in ("before", "luma")]
+    return list(np.moveaxis(np.hypot(*np.moveaxis(K.flow(*stacks), -1, 0)), -1, 0))
+
+
 @query()
 def kernel_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean length of the optical flow between a camera's neighbouring frames."""
 
     def run(batches):
         for b in batches:
-            far = [np.hypot(*np.moveaxis(K.flow(np.asarray(p, float).reshape(-1, 8), np.asarray(v, float).reshape(-1, 8)), -1, 0)) for p, v in zip(b["before"], b["luma"], strict=True)]
+            far = flow_lengths(b)
             yield pd.DataFrame({"frame_id": b["frame_id"], "length": [round(float(f.mean()), 4) for f in far], "moving": [int((f > 1.5).sum()) for f in far]})
 
     return neighbours(frames(spark, sf_dir)).select("frame_id", "before", "luma").mapInPandas(run, "frame_id long, length double, moving long")

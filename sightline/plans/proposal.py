@@ -154,15 +154,14 @@ MOTION, SAMPLES = 0.4, 30
 def artifact_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks on the lens from a camera's first thirty frames with motion, as a still
     scene would be learned too; too large a mask, or fewer such frames, is none."""
-    from .imaging import frames, neighbours
+    from .imaging import flow_lengths, frames, neighbours
 
     every = frames(spark, sf_dir)
     two = neighbours(every)
 
     def moving(batches):
         for b in batches:
-            mean = [np.hypot(*np.moveaxis(K.flow(np.asarray(p, float).reshape(-1, 8), np.asarray(v, float).reshape(-1, 8)), -1, 0)).mean() for p, v in zip(b["before"], b["luma"], strict=True)]
-            yield b.loc[np.asarray(mean) >= MOTION, ["camera_id", "frame_id", "luma"]]
+            yield b.loc[np.array([f.mean() for f in flow_lengths(b)]) >= MOTION, ["camera_id", "frame_id", "luma"]]
 
     moved = two.select("camera_id", "frame_id", "before", "luma").mapInPandas(moving, "camera_id long, frame_id long, luma array<double>")
     first = moved.withColumn("turn", F.row_number().over(Window.partitionBy("camera_id").orderBy("frame_id"))).where(F.col("turn") <= SAMPLES)
