@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,18 +56,32 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def _plain_files(df: DataFrame) -> bool:
+    """Rows of one file source, as they are there or fewer."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.child()
+    return node.nodeName().startswith("LogicalRelation")
+
+
+def _placed(df: DataFrame, names: list[str]) -> DataFrame | None:
+    """With file and place of each row; None where a column of the data hides them."""
+    if "_metadata" in {c.lower() for c in df.columns}:
+        return None
+    try:
+        return df.withColumns({names[1]: F.col("_metadata.file_path"), names[2]: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """``df`` with columns that together tell each row from all others, and their
     names: a hash of the row, and its file and place there. Rows of anything but
     files have no such place and are checkpointed with a number instead."""
     names = fresh(df, "row_hash", "row_file", "row_place")
     plain = [F.col(f"`{f.name}`") for f in df.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    node = df._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        node = node.child()
-    if node.nodeName().startswith("LogicalRelation") and not node.metadataOutput().isEmpty():
-        kept = df.withColumns({names[1]: F.col("_metadata.file_path"), names[2]: F.col("_metadata.row_index")})
-    else:
+    kept = _placed(df, names) if _plain_files(df) else None
+    if kept is None:
         kept = cut(df.withColumns({names[1]: F.lit(""), names[2]: F.monotonically_increasing_id()}))
     return kept.withColumn(names[0], F.xxhash64(*plain)), names
 

@@ -9,6 +9,8 @@ Documents are then chosen by seeded hash within their length.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,6 +72,10 @@ def subset(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]
     total = sum(n * c for n, c in have.items())
     if budget >= total:
         return have
+    # All sums are multiples of what the lengths have in common.
+    unit = math.gcd(*have)
+    if unit > 1:
+        return {n * unit: k for n, k in subset([n // unit for n in lengths], counts, budget // unit).items()}
     even, rest = {}, 0.0
     for n in sorted(have, reverse=True):
         rest += have[n] * n * budget / total

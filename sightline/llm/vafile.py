@@ -10,8 +10,9 @@ Queries go to all tasks in blocks of a checked size. A task scans its part of th
 file once for each block and keeps, for each query, the vectors whose upper bound is
 not below the k-th best lower bound that it, or a small sample before, has seen. Of what the tasks kept, the
 vectors that pass the k-th best lower bound of all are joined to their exact
-components, which move for them alone, and are read in the order of their bounds
-until the k-th best score is above what any vector not yet read can reach.
+components and read in the order of their bounds until the k-th best score is above
+what any vector not yet read can reach. Up to ``SENT_ROWS`` survivors their numbers
+are sent, so that only their vectors move; beyond that the join moves all once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ QUERY_BLOCK, BLOCK_BYTES = 4096, 1 << 25
 ANSWERED = 256
 #: Vectors, about so many, whose cells set a first bar for all tasks.
 SAMPLE = 1 << 13
+#: Numbers of surviving vectors that are sent to every task at most (8 bytes each).
+SENT_ROWS = 1 << 21
 #: Candidates that a task holds before it drops those that have fallen behind.
 HELD = 1 << 21
 #: Sizes of scaled components up to which products of floats are safe.
@@ -288,8 +291,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     by_query = Window.partitionBy("q")
     placed = found.withColumn("turn", F.row_number().over(by_query.orderBy(F.desc("middle"))))
     bar = F.max(F.when(F.col("turn") == k + 1, F.col("middle") - 2 * F.col("reach"))).over(by_query)
-    near = placed.withColumn("bar", bar).where(F.col("bar").isNull() | (F.col("middle") >= F.col("bar"))).select("q", "row", "middle", "reach")
-    with_vectors = near.join(exact, "row").select("q", "row", "middle", "reach", F.col("id").alias("vec_id"), "v")
+    near = cut(placed.withColumn("bar", bar).where(F.col("bar").isNull() | (F.col("middle") >= F.col("bar"))).select("q", "row", "middle", "reach"))
+    # Where the survivors' numbers are few enough to be sent, no other vector moves.
+    rows = cut(near.select("row").distinct())
+    alive = exact.join(F.broadcast(rows), "row", "left_semi") if rows.count() <= SENT_ROWS else exact
+    with_vectors = near.join(alive, "row").select("q", "row", "middle", "reach", F.col("id").alias("vec_id"), "v")
     n_groups = max(1, asked.count() // ANSWERED)
     group = F.pmod(F.xxhash64("q"), F.lit(n_groups)).alias("g")
     left = asked.select("q", F.col("id").alias("query_id"), "v", "n", group).groupBy("g")

@@ -115,6 +115,22 @@ def test_deduplicate_with_null_and_repeated_ids(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("3", a), ("7", b), ("None", c), ("9", d)])
 
 
+def test_deduplicate_with_clashing_names(spark, tmp_path):
+    rng = random.Random(2)
+    a, b = words(rng, 50), words(rng, 50)
+    names = ["row_hash", "ROW_FILE", "_row_place", "k0", "least", "root", "_stay", "_turn", "_metadata"]
+    df = frame(spark, [a, b, a, None], [4, 5, 3, 6])
+    for name in names:
+        df = df.withColumn(name, F.lit(name))
+    df = df.withColumn("pairs", F.create_map(F.lit("k"), F.col("doc_id")))
+    df.write.parquet(f"{tmp_path}/d.parquet")
+    for source in (df, spark.read.parquet(f"{tmp_path}/d.parquet"), spark.read.parquet(f"{tmp_path}/d.parquet").drop("_metadata")):
+        got = simhash.deduplicate(source)
+        assert got.columns == source.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == [3, 5, 6]
+        assert all(r[n] == n for r in got.collect() for n in names if n in got.columns)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (1, 0)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -736,7 +752,8 @@ def test_subset_sums_are_as_near_as_can_be():
         assert got <= budget
         exact += got == max(sums)
     assert exact == 60
-    # Lengths above the program's own budget: near, not always exact.
+    # Only multiples of ten can be reached, and are found at once.
+    assert sum(n * k for n, k in mixing.subset([70, 30, 110], [10**6] * 3, 100_000_005).items()) == 100_000_000
     got = sum(n * k for n, k in mixing.subset([100_000, 70_001, 1], [50, 50, 500], 4_000_123).items())
     assert 4_000_123 - 70_001 < got <= 4_000_123
 
@@ -774,6 +791,13 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert vafile.top_k(df, df.limit(0)).collect() == []
 
 
+def test_top_k_by_a_shuffled_join(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    want = sorted(map(tuple, QUERIES["op8_top_k"](spark, sf_dir).collect()))
+    monkeypatch.setattr(vafile, "SENT_ROWS", 0)
+    assert sorted(map(tuple, vafile.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect())) == want
+
+
 @pytest.mark.parametrize("bits", [10, 27, 51, 120, 1000])
 def test_top_k_of_large_components(spark, bits):
     rng = np.random.default_rng(2)
