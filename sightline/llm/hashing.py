@@ -32,9 +32,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_WORD = np.ones(256, bool)
+_WORD[list(_SPACES)] = False
+
+
 def _inside(a: np.ndarray) -> np.ndarray:
     """True where not ASCII white space."""
-    return (a != 32) & ((a < 9) | (a > 13))
+    return _WORD.take(a) if a.dtype == np.uint8 else _WORD.take(np.minimum(a, 255))
 
 
 def _sums(a: np.ndarray) -> np.ndarray:
@@ -51,11 +55,14 @@ def word_hashes(a: np.ndarray):
     total, begun = 0, None
     for low in range(0, len(a), CHUNK):
         piece = a[low : low + CHUNK]
-        sums = _sums(piece) * np.uint64(pow(_BASE, low, 1 << 64)) + np.uint64(total)
+        sums, back_by = _sums(piece), _INVERSE
+        if low:
+            sums = sums * np.uint64(pow(_BASE, low, 1 << 64)) + np.uint64(total)
+            back_by = _INVERSE * np.uint64(pow(_INVERSE_BASE, low, 1 << 64))
         inside = _inside(piece)
         edge = np.diff(inside.astype(np.int8), prepend=np.int8(begun is not None))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        first, back = sums[starts], _INVERSE[starts] * np.uint64(pow(_INVERSE_BASE, low, 1 << 64))
+        first, back = sums[starts], back_by[starts]
         if begun is not None:
             first, back = np.insert(first, 0, begun[0]), np.insert(back, 0, begun[1])
         n = len(ends)

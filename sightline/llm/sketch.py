@@ -40,12 +40,21 @@ def merge(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     return np.union1d(a, b)[:k]
 
 
+def _met(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """The merged sketch, and how many of its hashes both have; from one sort."""
+    both = np.concatenate([a, b])
+    both.sort()
+    twice = both[1:] == both[:-1]
+    first = np.ones(len(both), bool)
+    first[1:] = ~twice
+    merged = both[first][:k]
+    shared = np.count_nonzero(twice & (both[1:] <= merged[-1])) if len(merged) else 0
+    return merged, shared
+
+
 def resemblance(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated Jaccard similarity; both empty: 1, one empty: 0."""
-    both = merge(a, b, k)
-    if not len(both):
-        return 1.0
-    return float(np.isin(np.intersect1d(a, b), both).sum()) / len(both)
+    return compared(a, b, k)[0]
 
 
 def count(a: np.ndarray, k: int = K) -> float:
@@ -57,10 +66,14 @@ def count(a: np.ndarray, k: int = K) -> float:
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
     """Estimated share of ``a``'s shingles that ``b`` has; ``a`` empty: 1."""
-    if not len(a):
-        return 1.0
-    union = count(merge(a, b, k), k)
-    return min(1.0, resemblance(a, b, k) * union / count(a, k))
+    return compared(a, b, k)[1]
+
+
+def compared(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float, float]:
+    """Resemblance and containment."""
+    merged, shared = _met(a, b, k)
+    alike = shared / len(merged) if len(merged) else 1.0
+    return alike, min(1.0, alike * count(merged, k) / count(a, k)) if len(a) else 1.0
 
 
 def shown(a: np.ndarray) -> str:
@@ -121,8 +134,8 @@ def _in_order():
                 _, before_id, before, before_mark = held
                 other = edited(before, text)
                 other_mark = sketch(other.encode())
-                shared = containment(before_mark, other_mark)
-                rows.append((before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), shown(before_mark), shown(other_mark), resemblance(before_mark, other_mark), resemblance(before_mark, mark), shared, count(before_mark)))
+                alike, kept = compared(before_mark, other_mark)
+                rows.append((before_id, len(before), hashlib.sha256(other.encode()).hexdigest(), shown(before_mark), shown(other_mark), alike, resemblance(before_mark, mark), kept, count(before_mark)))
             held = None if copy else (bucket, doc_id, text, mark)
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(9)]
 
