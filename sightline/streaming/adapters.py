@@ -106,6 +106,62 @@ class WindowScan:
         self.window = Accumulator.load(text)
 
 
+class MapProcessor(StatefulProcessor):
+    """The map as a streaming operator whose state is one entry a grid cell.
+
+    A sighting reads the cells that its radius touches and writes the cell of its
+    thing, and the one that the thing left; other things stay in the state store,
+    however many there are. Numbers of things made and of changes are an entry of
+    their own. Rows come out as those of ``WorldScan``.
+    """
+
+    NUMBERS = "numbers"
+
+    def __init__(self, sectors: list[dict], order: list[str], **settings):
+        self.sectors, self.order, self.settings = sectors, order, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("cells", "cell STRING", "things STRING")
+
+    def _read(self, name: str, default):
+        return json.loads(self.kept.getValue((name,))[0]) if self.kept.containsKey((name,)) else default
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        world = WorldMap(sectors=self.sectors, **self.settings)
+        world.made, world.revision, serial = self._read(self.NUMBERS, [0, 0, 0])
+        cells: dict[str, list[dict]] = {}
+        before: dict[str, str] = {}
+        out = []
+        for row in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
+            x, y = float(row.fx), float(row.fy)
+            at = world.grid.cell_names(x - world.near, y - world.near, x + world.near, y + world.near)
+            for name in at:
+                if name not in cells:
+                    cells[name] = self._read(name, [])
+                    before[name] = json.dumps(cells[name])
+            # Things nearby in the order in which they were made.
+            world.things = sorted((t for name in at for t in cells[name]), key=lambda t: t["serial"])
+            world._index()
+            known = len(world.things)
+            places = [world.grid.cell_name(t["x"], t["y"]) for t in world.things]
+            thing, changed = world.observe(x, y, row.kind, float(row.confidence), pd.Timestamp(row.ts).timestamp())
+            if len(world.things) > known:
+                serial += 1
+                thing["serial"] = serial
+            else:
+                cells[places[next(k for k, t in enumerate(world.things) if t is thing)]].remove(thing)
+            cells[world.grid.cell_name(thing["x"], thing["y"])].append(thing)
+            out.append((int(row.camera_id), int(row.det_id), thing["id"], thing["kind"], thing["x"], thing["y"], thing["sector"], thing["seen"], changed, world.revision))
+        for name, things in cells.items():
+            if (now := json.dumps(things)) != before[name]:
+                self.kept.updateValue((name,), (now,))
+        self.kept.updateValue((self.NUMBERS,), (json.dumps([world.made, world.revision, serial]),))
+        yield pd.DataFrame.from_records(out, columns=[f.split()[0] for f in WORLD.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -141,6 +197,16 @@ class Processor(StatefulProcessor):
 def stream(df: DataFrame, adapter: Callable, order: list[str], schema: str, keys: tuple[str, ...] = ("camera_id",)) -> DataFrame:
     """An unbounded table through an adapter; the state never expires. The session's
     state store must be RocksDB, which the operator needs."""
+    return _with_state(df, keys, Processor(adapter, order, schema), schema)
+
+
+def world_stream(df: DataFrame, sectors: list[dict], order: list[str], keys: tuple[str, ...] = ("camera_id", "kind"), **settings) -> DataFrame:
+    """Sightings ``(camera_id, kind, det_id, ts, fx, fy, confidence)`` to the map, with
+    state by grid cell."""
+    return _with_state(df, keys, MapProcessor(sectors, order, **settings), WORLD)
+
+
+def _with_state(df: DataFrame, keys: tuple[str, ...], processor: StatefulProcessor, schema: str) -> DataFrame:
     if not df.sparkSession.conf.get(STATE_STORE, "").endswith("RocksDBStateStoreProvider"):
         raise ValueError(f"set {STATE_STORE} to org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return df.groupBy(*keys).transformWithStateInPandas(Processor(adapter, order, schema), schema, "Update", "None")
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Update", "None")

@@ -115,19 +115,22 @@ def test_learner_and_scene():
     assert s.register(0.5) and s.check(0, 99) == "stale" and s.check(30, 0) == "stale" and s.check(60, 0) == "registered"
 
 
-def play(spark, tmp_path, df, adapter, order, schema, keys, parts):
+def play(spark, tmp_path, df, adapter, order, schema, keys, parts, make=None):
     """The rows through a file stream, a file a batch."""
     ordered = df.orderBy(*order).toPandas()
     step = -(-len(ordered) // parts)
     for k in range(parts):
         spark.createDataFrame(ordered.iloc[k * step : (k + 1) * step], df.schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k:02d}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
-    run = A.stream(source, adapter, order, schema, keys).writeStream.format("memory").queryName("played").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out = make(source) if make else A.stream(source, adapter, order, schema, keys)
+    run = out.writeStream.format("memory").queryName("played").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(240)
     return [tuple(r) for r in spark.sql("SELECT * FROM played").collect()]
 
 
-def test_world_stream_equals_batch(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("by_cell", [False, True])
+def test_world_stream_equals_batch(spark, sf_dir, tmp_path, by_cell):
+    """With the whole machine as state, and with an entry for each grid cell."""
     from sightline.plans.floor import observed
 
     rows = observed(spark, sf_dir).select("camera_id", "kind", "det_id", F.col("ts").cast("timestamp").alias("ts"), "fx", "fy", "confidence").where("camera_id < 2")
@@ -135,7 +138,8 @@ def test_world_stream_equals_batch(spark, sf_dir, tmp_path):
     keys = ("camera_id", "kind")
     want = [tuple(r) for r in A.batch(rows, scan, ["ts", "det_id"], A.WORLD, keys).collect()]
     assert len(want) > 50
-    assert sorted(map(str, play(spark, tmp_path, rows, scan, ["ts", "det_id"], A.WORLD, keys, 3))) == sorted(map(str, want))
+    make = (lambda source: A.world_stream(source, P.sector_list(spark, sf_dir), ["ts", "det_id"], keys)) if by_cell else None
+    assert sorted(map(str, play(spark, tmp_path, rows, scan, ["ts", "det_id"], A.WORLD, keys, 3, make))) == sorted(map(str, want))
 
 
 def test_track_stream_equals_batch_but_for_the_open_pass(spark, sf_dir, tmp_path):
