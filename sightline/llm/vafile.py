@@ -31,8 +31,9 @@ CELLS = 256
 QUERY_BLOCK, BLOCK_BYTES = 4096, 1 << 25
 #: Queries answered together by one task.
 ANSWERED = 256
-#: Vectors, about so many, whose cells set a first bar for all tasks.
-SAMPLE = 1 << 13
+#: One in so many vectors, and at most so many, set a first bar for all tasks with
+#: their cells; any will do.
+SHARE, SAMPLE = 32, 1 << 13
 #: Numbers of surviving vectors that are sent to every task at most (8 bytes each).
 SENT_ROWS = 1 << 21
 #: Candidates that a task holds before it drops those that have fallen behind.
@@ -276,10 +277,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     cells = learn_cells(exact)
     file = cut(arrow_map(exact, {"row": F.col("row"), "dim": F.col("dim"), "v": F.col("v")}, _coded(cells), "row long, dim int, code binary"))
 
-    every = file.count() // SAMPLE + 1
-    sample = [(r["dim"], bytes(r["code"])) for r in file.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).limit(2 * SAMPLE).toLocalIterator()]
-    spark, found = vectors.sparkSession, None
+    sample = [(r["dim"], bytes(r["code"])) for r in file.where(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0).limit(SAMPLE).collect()]
+    spark, found, n_asked = vectors.sparkSession, None, 0
     for block in _blocks(asked, cells):
+        n_asked += sum(len(q) for q, _ in block.values())
         sent = spark.sparkContext.broadcast((cells, block, _bars(cells, block, sample, k + 1)))
         kept = cut(file.mapInArrow(_scan(sent, k + 1), "q long, row long, middle double, reach double"))
         sent.destroy()
@@ -293,10 +294,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     bar = F.max(F.when(F.col("turn") == k + 1, F.col("middle") - 2 * F.col("reach"))).over(by_query)
     near = cut(placed.withColumn("bar", bar).where(F.col("bar").isNull() | (F.col("middle") >= F.col("bar"))).select("q", "row", "middle", "reach"))
     # Where the survivors' numbers are few enough to be sent, no other vector moves.
-    rows = cut(near.select("row").distinct())
-    alive = exact.join(F.broadcast(rows), "row", "left_semi") if rows.count() <= SENT_ROWS else exact
+    alive = exact.join(F.broadcast(near.select("row").distinct()), "row", "left_semi") if near.count() <= SENT_ROWS else exact
     with_vectors = near.join(alive, "row").select("q", "row", "middle", "reach", F.col("id").alias("vec_id"), "v")
-    n_groups = max(1, asked.count() // ANSWERED)
+    n_groups = max(1, n_asked // ANSWERED)
     group = F.pmod(F.xxhash64("q"), F.lit(n_groups)).alias("g")
     left = asked.select("q", F.col("id").alias("query_id"), "v", "n", group).groupBy("g")
     answers = left.cogroup(with_vectors.select("*", group).groupBy("g")).applyInPandas(lambda a, b: _answers(k)(a, b), "query_id long, rank int, vec_id long, score long, n long")
