@@ -122,17 +122,39 @@ def kernel_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("frame_id", "luma").mapInPandas(run, "frame_id long, n long, first string")
 
 
+def suppress_batches(batches, keys: list[str], together: int = 1 << 17):
+    """Frames sorted by ``keys`` to ``(det_id, turn)`` of the boxes kept. About
+    ``together`` rows of many groups are done at once; a larger group is taken whole."""
+
+    def kept(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        at, turn = K.suppressed_groups(group, rows[["x", "y", "w", "h"]].to_numpy(float), rows["confidence"].to_numpy(float), rows["det_id"].to_numpy())
+        return pd.DataFrame({"det_id": rows["det_id"].to_numpy()[at], "turn": turn})
+
+    held, count, enough = [], 0, together
+    for b in batches:
+        held.append(b)
+        count += len(b)
+        if count < enough or not count:
+            continue
+        rows = pd.concat(held)
+        group = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        # The last group may go on in the next batch.
+        whole = int(np.searchsorted(group, group[-1]))
+        if whole:
+            yield kept(rows[:whole], group[:whole])
+        held, count = [rows[whole:]], len(rows) - whole
+        enough = max(together, 2 * count)
+    if count:
+        rows = pd.concat(held)
+        yield kept(rows, rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy())
+
+
 @query()
 def greedy_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-maximum suppression over the boxes of a source's day, best first."""
-    d = V.detections(spark, sf_dir).select("user_id", F.date_trunc("day", "ts").alias("day"), "det_id", "confidence", "x", "y", "w", "h")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("det_id")
-        kept = K.suppressed(rows[["x", "y", "w", "h"]].to_numpy().tolist(), rows["confidence"].to_numpy())
-        return pd.DataFrame({"det_id": rows["det_id"].to_numpy()[kept], "turn": range(1, len(kept) + 1)})
-
-    return d.groupBy("user_id", "day").applyInPandas(keep, "det_id long, turn int")
+    d = V.detections(spark, sf_dir).select("user_id", F.date_trunc("day", "ts").cast("long").alias("day"), "det_id", "confidence", "x", "y", "w", "h")
+    keys = ["user_id", "day"]
+    return d.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda batches: suppress_batches(batches, keys), "det_id long, turn int")
 
 
 @query()
