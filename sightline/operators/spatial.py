@@ -7,6 +7,8 @@ does so where statistics show a small side, and else shuffles on the cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,93 @@ def overlapping(left: DataFrame, right: DataFrame, a: tuple[str, str, str, str],
     return l.join(r, [*(on or []), "_cx", "_cy"]).where(first & (G.overlap(ax, ay, aw, ah, bx, by, bw, bh) > 0)).drop("_cx", "_cy")
 
 
+#: Places in a cell beyond which a narrower radius is searched first.
+CROWD = 16
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``a`` the index of the nearest of ``b`` closer than
+    ``radius``, of equal distances the least index, else -1; and the distance.
+
+    Narrow radii come first, so that crowded places meet few others; what they leave
+    open is measured again with wider ones.
+    """
+    at, far = np.full(len(a), -1), np.full(len(a), np.inf)
+    low = np.floor(np.minimum(a.min(axis=0), b.min(axis=0)) - radius)
+    reach = radius
+    while reach > radius / 1024 and np.unique(np.floor((b - low) / reach), axis=0, return_counts=True)[1].max() > CROWD:
+        reach /= 4
+    open_ = np.arange(len(a))
+    while len(open_):
+        reach = min(reach, radius)
+        cb = np.floor((b - low) / reach).astype(np.int64)
+        width = int(max(cb[:, 1].max(), ((a[open_, 1] - low[1]) / reach).max())) + 3
+        name = cb[:, 0] * width + cb[:, 1]
+        by = np.argsort(name, kind="stable")
+        name = name[by]
+        for part in np.array_split(open_, max(1, len(open_) // 4096)):
+            ca = np.floor((a[part] - low) / reach).astype(np.int64)
+            for dx in (-1, 0, 1):
+                row = (ca[:, 0] + dx) * width + ca[:, 1]
+                lo, hi = np.searchsorted(name, row - 1), np.searchsorted(name, row + 1, side="right")
+                for some in _runs(hi - lo):
+                    n, first = (hi - lo)[some], lo[some]
+                    own = np.repeat(np.arange(len(n)), n)
+                    k = by[np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+                    d = np.sqrt(((a[part[some]][own] - b[k]) ** 2).sum(axis=1))
+                    start = (np.cumsum(n) - n)[n > 0]
+                    if not len(start):
+                        continue
+                    mine = part[some][n > 0]
+                    least = np.minimum.reduceat(d, start)
+                    one = np.minimum.reduceat(np.where(d == np.repeat(least, n[n > 0]), k, len(b)), start)
+                    better = (least < far[mine]) | ((least == far[mine]) & (one < at[mine]))
+                    far[mine[better]], at[mine[better]] = least[better], one[better]
+        # Nearest for certain: closer than the radius that was searched whole.
+        if reach >= radius:
+            break
+        open_ = open_[far[open_] >= reach]
+        reach *= 4
+    at[far >= radius] = -1
+    return at, far
+
+
+def _runs(n: np.ndarray, most: int = 1 << 20):
+    """Slices of consecutive rows whose counts sum to about ``most`` at the most."""
+    part = (np.cumsum(n) - n) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]
+    return [slice(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if j > i]
+
+
 def nearest_within(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], radius: float, on: list[str], order: str) -> DataFrame:
     """For each left row the nearest right row with equal ``on`` closer than
-    ``radius``; of equal distances the least ``order``. Rows without one are absent."""
+    ``radius``; of equal distances the least ``order``. Rows without one are absent.
+
+    Places are dealt to square tiles, the right ones also to tiles that they are
+    within ``radius`` of; no pair is a row. Of right rows at one place, the least
+    ``order`` stands for all.
+    """
     ax, ay, bx, by = F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])
-    l = to_cells(left, ax - radius, ay - radius, ax + radius, ay + radius, radius)
-    r = at_cell(right, bx, by, radius)
-    d = G.distance(ax, ay, bx, by)
-    met = l.join(r, [*on, "_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") < radius)
-    chosen = F.struct(*[c for c in right.columns if c not in on], F.col("_d").alias("distance"))
-    return met.groupBy(key).agg(F.min_by(chosen, F.struct("_d", order)).alias("_n")).select(key, "_n.*")
+    side = 4.0 * radius
+    rest = [c for c in right.columns if c not in (*on, *b, order)]
+    # NULLs of ``on`` are equal to nothing, as in a join.
+    known = right.dropna(subset=[*on, *b, order]).groupBy(*on, *b)
+    places = known.agg(F.min(F.struct(order, *rest)).alias("_r")).select(*on, *b, "_r.*") if rest else known.agg(F.min(order).alias(order))
+    r = to_cells(places, bx - radius, by - radius, bx + radius, by + radius, side)
+    l = at_cell(left.select(key, *on, *a).dropna(subset=[key, *on]), ax, ay, side)
+    names = [key, *[c for c in right.columns if c not in on], "distance"]
+    types = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]} | {"distance": "double"}
+
+    def meet(those: pd.DataFrame, things: pd.DataFrame) -> pd.DataFrame:
+        if not len(those) or not len(things):
+            return pd.DataFrame({c: [] for c in names})
+        things = things.sort_values(order, ignore_index=True)
+        at, far = _nearest(those[list(a)].to_numpy(float), things[list(b)].to_numpy(float), radius)
+        found = at >= 0
+        out = things.iloc[at[found]].reset_index(drop=True)
+        out[key], out["distance"] = those[key].to_numpy()[found], far[found]
+        return out[names]
+
+    met = l.groupBy(*on, "_cx", "_cy").cogroup(r.groupBy(*on, "_cx", "_cy")).applyInPandas(meet, ", ".join(f"`{c}` {types[c]}" for c in names))
+    chosen = F.struct(*names[1:])
+    return met.groupBy(key).agg(F.min_by(chosen, F.struct("distance", order)).alias("_n")).select(key, "_n.*")

@@ -1,10 +1,15 @@
 """Queries on crowded tables: the work that grew with the square of a crowd."""
 
+import math
+
+import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 from sightline import plans
 from sightline.functions import kernels as K
+from sightline.operators import spatial
 from sightline.plans import imaging
 
 
@@ -33,3 +38,40 @@ def test_groups_are_suppressed_together_as_one_by_one():
 def test_suppression_makes_no_python_call_a_group(spark, sf_dir):
     plan = plans.QUERIES["greedy_suppression"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+
+
+def events(path, rows):
+    """``rows``: SQL of event_id, user_id, event_type, k and hours, written as events."""
+    c = duckdb.connect()
+    c.sql(f"""copy (select event_id::bigint as event_id, timestamp '2024-01-01' + to_hours(hours::int) as ts, user_id::bigint as user_id, event_type, 40.0 + event_id % 50 as value, '{{"k": ' || k || '}}' as props from ({rows})) to '{path}/events.parquet'""")
+    c.sql(f"create view events as select * from '{path}/events.parquet'")
+    return c
+
+
+def test_nearest_thing_in_a_crowd_equals_its_sql(spark, tmp_path):
+    """Few users and two kinds, so that most places have many copies; a kind that is
+    unknown meets nothing."""
+    c = events(tmp_path, "select range as event_id, range * 7 % 23 * 4 as user_id, case when range % 50 = 0 then 'other' when range % 3 = 0 then 'view' else 'click' end as event_type, range % 100 as k, 0 as hours from range(4000)")
+    got = [tuple(r) for r in plans.QUERIES["nearest_thing_in_radius"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(c.sql(plans.ORACLE_SQL["nearest_thing_in_radius"]).fetchall(), key=str)
+    assert any(new for *_, new in got) and not all(new for *_, new in got)
+
+
+@pytest.mark.parametrize("spread", [3.0, 60.0, 900.0])
+def test_nearest_of_places(spread):
+    """Clumps and single places, ties, and nothing within the radius."""
+    rng = np.random.default_rng(int(spread))
+    a, b = (np.round(np.vstack([rng.uniform(0, spread, (150, 2)), rng.uniform(-900, 900, (60, 2))])) for _ in "ab")
+    at, far = spatial._nearest(a, b, 60.0)
+    for p, k, d in zip(a.tolist(), at, far, strict=True):
+        least, one = min((math.dist(p, q), n) for n, q in enumerate(b.tolist()))
+        assert (k, d) == (one, pytest.approx(least)) if least < 60 else k == -1
+
+
+def test_nearest_has_no_row_a_pair(spark):
+    """All places of both sides in one cell: before, 1.5 million joined rows."""
+    left = spark.range(1500).selectExpr("id AS l", "0 AS g", "id % 40 AS x", "id div 40 AS y")
+    right = spark.range(1000).selectExpr("id AS r", "0 AS g", "(id * 3) % 41 AS tx", "id % 37 AS ty")
+    near = spatial.nearest_within(left, right, "l", ("x", "y"), ("tx", "ty"), 60.0, ["g"], "r")
+    plan = near._jdf.queryExecution().toString()
+    assert near.count() == 1500 and "FlatMapCoGroupsInPandas" in plan and "Join" not in plan
